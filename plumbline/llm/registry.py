@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.language import op9_language_id
 from plumbline.llm.packing import op10_packing
 from plumbline.llm.pieces import op7_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
