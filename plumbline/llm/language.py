@@ -147,7 +147,10 @@ def training_sample(labelled: DataFrame, per_lang: int = PER_LANG) -> list[tuple
     windows at places that the hash gives, so that the driver's share is bounded by languages times per_lang."""
     df = labelled.where("lang is not null and text is not null and text != ''")
     counts = df.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
-    share = F.create_map(*[x for r in counts.collect() for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))])
+    found = counts.collect()
+    if not found:
+        return []
+    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))])
     df = df.withColumn("share", share[F.col("lang")]).withColumn("hash", F.xxhash64(F.col("doc_id"), F.lit("lang")))
     df = df.where(F.col("share").isNotNull() & (F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30)))
     last = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1

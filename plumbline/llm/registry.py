@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.language import op9_language_id
 from plumbline.llm.packing import op10_packing
 from plumbline.llm.pieces import op7_sentencepiece
+from plumbline.llm.quality import op6_quality_rules, rules_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_quality_rules": rules_sql(),
+}
