@@ -10,8 +10,10 @@ from plumbline.llm.language import op9_language_id
 from plumbline.llm.packing import op10_packing
 from plumbline.llm.pieces import op7_sentencepiece
 from plumbline.llm.quality import op6_quality_rules, rules_sql
+from plumbline.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_language_id": op9_language_id,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_simhash": op2_simhash,
     "op6_quality_rules": rules_sql(),
 }
