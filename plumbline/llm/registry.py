@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.language import op9_language_id
 from plumbline.llm.packing import op10_packing
+from plumbline.llm.passages import op4_passages
 from plumbline.llm.pieces import op7_sentencepiece
 from plumbline.llm.private import op3_private_data
 from plumbline.llm.quality import op6_quality_rules, rules_sql
@@ -16,6 +17,7 @@ from plumbline.llm.simhash import op2_simhash
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_private_data": op3_private_data,
+    "op4_passages": op4_passages,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_language_id": op9_language_id,
