@@ -13,11 +13,13 @@ from plumbline.llm.pieces import op7_sentencepiece
 from plumbline.llm.private import op3_private_data
 from plumbline.llm.quality import op6_quality_rules, rules_sql
 from plumbline.llm.simhash import op2_simhash
+from plumbline.llm.spotsigs import op5_spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_private_data": op3_private_data,
     "op4_passages": op4_passages,
+    "op5_spotsigs": op5_spotsigs,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_language_id": op9_language_id,
