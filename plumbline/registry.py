@@ -1,4 +1,4 @@
-"""Queries for the reference's operators and their SQL, by name."""
+"""Queries for the reference's operators over the test tables and their SQL, by name."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from plumbline.plans import corpus, search, study
+
+FLAGSHIP = "exact_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _module in (search, study, corpus):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
