@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ARTICLES = r"\b(a|an|the)\b"
 PUNCTUATION = "[" + "".join("\\" + c for c in string.punctuation) + "]"
@@ -27,7 +28,7 @@ def normalise_answer(s: Column) -> Column:
     return collapse(F.regexp_replace(bare, ARTICLES, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def norm_text(s: pd.Series) -> pd.Series:
     """NFKD of the lower-cased text with every character outside [a-z0-9 ] as one blank; null stays null."""
     keep = set(string.ascii_lowercase + string.digits + " ")

@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RUNS = T.StructType.fromDDL(
+KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def struct(fields: str) -> T.StructType:
+    """A schema of simple fields; unlike StructType.fromDDL it needs no session, so modules can be imported without one."""
+    return T.StructType([T.StructField(n, KINDS[k]) for n, k in (f.split() for f in fields.split(","))])
+
+
+RUNS = struct(
     "qid string, arm string, input_tokens bigint, output_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, turns int, stop_reason string, error string,"
     " wall_clock_s double, started_at string, answer string, judge_correct boolean, cost_total_billed double"
 )
-PRICES = T.StructType.fromDDL("model string, input_usd_per_mtok double, output_usd_per_mtok double, cache_write_1h_multiplier double, cache_read_multiplier double, regime string, source_url string, fetched_date string, verified string")
-LEDGER = T.StructType.fromDDL("run_label string, spend_usd double, head string, dirty boolean, committed_in string, note string")
-TRANSCRIPT = T.StructType.fromDDL("role string, stop_reason string, content array<struct<type: string, text: string, name: string, tool_use_id: string, content: string, content_length: bigint, is_error: boolean>>")
+PRICES = struct("model string, input_usd_per_mtok double, output_usd_per_mtok double, cache_write_1h_multiplier double, cache_read_multiplier double, regime string, source_url string, fetched_date string, verified string")
+LEDGER = struct("run_label string, spend_usd double, head string, dirty boolean, committed_in string, note string")
+TRANSCRIPT = struct("role string, stop_reason string").add("content", T.ArrayType(struct("type string, text string, name string, tool_use_id string, content string, content_length bigint, is_error boolean")))
 BROKEN = "_broken"
 
 
