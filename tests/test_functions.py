@@ -152,3 +152,46 @@ def test_stream(spark, tmp_path):
     K.upsert_to(stream, str(tmp_path / "out"), ["qid", "arm"], "at", str(tmp_path / "state")).awaitTermination(120)
     got = {r.qid: r.v for r in K.current(spark, str(tmp_path / "out"), ["qid", "arm"], "at").collect()}
     assert got == {r["qid"]: r["v"] for r in rows}
+
+
+def test_titles(spark):
+    from plumbline.functions import titles as B
+
+    assert B.title_words("Élan  vital!") == "e lan vital" or B.title_words("Élan  vital!") == "elan vital"
+    assert B.nested("new york", "new york city") and not B.nested("york", "newyork")
+    assert B.bridges_of("He saw the Eiffel Tower near New York City.", "Paris", {"eiffel tower", "new york city"}) == ["eiffel tower", "new york city"]
+    assert B.redact_verbatim("abc This is a long verbatim stretch xyz", "zz THIS IS A LONG VERBATIM STRETCH zz") == "abc" + B.PLACEHOLDER + "xyz"
+    assert B.redact_verbatim(None, "x") is None and B.redact_verbatim("short", "short") == "short"
+
+
+def test_fits(spark):
+    from plumbline.operators import fits as P
+
+    x = np.linspace(0, 1, 12)
+    y = np.minimum(x, 0.5)
+    got = P.changepoint(x, y)
+    assert abs(got["tau"] - 0.5) < 0.01 and abs(got["left"] - 1) < 0.02 and abs(got["right"]) < 0.02
+    assert P.knee_of(np.array([0.9, 0.8, 0.95]), ["PLATEAU", "DROP", "PLATEAU"]) == 0.9 and P.knee_of(np.array([0.9]), ["DROP"]) is None
+    rng = np.random.default_rng(1)
+    r, q = rng.random((30, 5)), rng.random((30, 5))
+    a, b = P.bootstrap_changepoint(spark, r, q, 6, grid=5).collect(), P.bootstrap_changepoint(spark, r, q, 6, grid=5).collect()
+    assert sorted(a) == sorted(b) and len(a) == 6
+    assert P.leave_k_out(spark, [1.0, 2.0, 3.0, 4.0, 5.0], 2, 20).count() == 10
+    assert 0 <= P.false_positive_rate(spark, [1.0, 2.0, 5.0, 9.0], 8, 20, 20).first().rate <= 1
+
+
+def test_depth(spark):
+    from plumbline.operators import depth as Q
+
+    cube = spark.createDataFrame([(a, k, q, q % 2 == 0, False, (q + (a == "x") * k) % 3 == 0) for a in "xy" for k in (1, 3) for q in range(6)], "arm string, k int, qid long, presence boolean, em boolean, judge boolean")
+    found = Q.buckets(cube)
+    by = {(r.k, r.qid): r.bucket for r in found.collect()}
+    assert by[3, 0] == "always" and by[3, 1] == "never" and by[1, 0] == "discriminating"
+    sep = cube.select("k", "qid", (F.col("qid") > 2).alias("separable")).distinct()
+    got = {r.k: r for r in Q.decompose(found, sep).collect()}
+    assert got[3].always == 2 and got[3].signal == 0.0
+    assert Q.mediators(cube).where("arm = 'y' and k = 1").first().conversion == pytest.approx(1 / 3)
+    assert {r.arm for r in Q.composition(cube, 1, 3).collect()} == {"x", "y"}
+    assert Q.monotone(found, "always").first().holds is True
+    with pytest.raises(Exception, match="ragged arms"):
+        Q.buckets(cube.where("not (arm = 'x' and qid = 2)")).collect()
