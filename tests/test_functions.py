@@ -195,3 +195,28 @@ def test_depth(spark):
     assert Q.monotone(found, "always").first().holds is True
     with pytest.raises(Exception, match="ragged arms"):
         Q.buckets(cube.where("not (arm = 'x' and qid = 2)")).collect()
+
+
+def test_gates_and_threads(spark):
+    from plumbline.functions import gates as Y
+    from plumbline.functions import threads as Z
+
+    arr = lambda *xs: F.array(*map(F.lit, xs))
+    none = F.array().cast("array<string>")
+    assert one(spark, Y.apply_verdict(F.lit("augment"), arr("a"), arr("a", "b"))) == ["a", "b"]
+    assert one(spark, Y.apply_verdict(F.lit("replace"), arr("a"), arr("b"))) == ["b"] and one(spark, Y.changed(F.lit("keep"), arr("a"), arr("b"))) == "kept"
+    with pytest.raises(Exception, match="replace without golds"):
+        one(spark, Y.apply_verdict(F.lit("replace"), arr("a"), none))
+    assert one(spark, Y.membership(arr("a", "b"), arr("b", "c"))) == "partial" and one(spark, Y.membership(arr("a"), arr("a"))) == "all"
+    assert one(spark, Y.uphold_gate(F.lit(5), F.lit(5), 0.5)) is None and one(spark, Y.concordance_gate(F.lit(0), F.lit(0), 0.9))
+    assert one(spark, Y.descending_scores(arr(0.9, 0.5, 0.5), 3)) and not one(spark, Y.descending_scores(arr(0.5, 0.9), 2))
+    assert one(spark, Y.forbidden_terms([F.lit("a Foo.bar b")], ["Foo", "foo", "bar"])) == ["Foo", "bar"]
+    assert [one(spark, Y.knee_branch(F.lit(r), F.lit(p))) for r, p in ((0.9, True), (0.99, True), (0.9, False))] == ["K1", "K3", "K2"]
+    author = F.struct(F.lit("CI-helper").alias("login"), F.lit("User").alias("type"))
+    assert one(spark, Z.is_bot(author, ("ci-HELPER",))) and not one(spark, Z.is_bot(author))
+    assert one(spark, Z.file_name(F.lit("a/b"), F.lit(7))) == "a_b__0007.md"
+    assert one(spark, Z.tier(F.lit("src/x.py"), ("docs/", "src/"))) == 1 and one(spark, Z.tier(F.lit("y"), ("docs/",))) == 1
+    assert one(spark, Z.in_subset(F.lit("src/x.py"), ("src/",), ("src/y",))) and one(spark, Z.in_subset(F.lit("q"), ()))
+    assert one(spark, Z.visible(F.lit("src/x.py"), ("py",))) and not one(spark, Z.visible(F.lit(".git/x.py"), ("py",)))
+    thread = F.struct(F.lit("T").alias("title"), F.lit("B ").alias("body"), F.array(F.struct(author.alias("user"), F.lit("hi\n ").alias("body"))).alias("comments"))
+    assert one(spark, Z.document(thread)) == "# T\n\nB \n\n## CI-helper\n\nhi\n"
