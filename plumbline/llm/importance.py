@@ -110,7 +110,9 @@ def resample(df: DataFrame, target: DataFrame, k: int | None = None, share: floa
     """
     src = texts(df, id_col, text_col)
     raw = model(src)
-    good = model(src.join(target.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # A merge join at every size: the ids grow with the corpus, and a plan that broadcasts few and shuffles many would not
+    # tell from a small run what a large one needs.
+    good = model(src.join(target.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
     # A hash of the id gives the noise, so that a lost task draws the same again.
     u = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     keyed = weighted(src, good - raw).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
