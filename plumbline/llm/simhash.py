@@ -6,9 +6,9 @@ within d then differ in at most t_i bits of some partition i. Thresholds (and m)
 estimated numbers of probes and candidates, from counts over all fingerprints. Each fingerprint probes the buckets
 within t_i of its own value in partition i, and candidates are verified on all 64 bits.
 
-Buckets whose probes times members exceed ``PAIRS`` are not compared pairwise: their members are linked through
-fingerprints that are one bit away, which finds every pair at distance 2 or less in 65 rows a member, without pairs;
-for d above 2 they are also compared with the bucket's least member. So d <= 2 is exact for buckets of any size.
+For d <= 2, buckets whose probes times members exceed ``PAIRS`` are not compared pairwise: their members are linked
+through fingerprints that are one bit away, which finds every pair at distance 2 or less in 65 rows a member, without
+pairs. For larger d they are compared whole, dealt to blocks. Both are exact for buckets of any size.
 """
 
 from __future__ import annotations
@@ -182,8 +182,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def links(nodes: DataFrame, most: int, sized: bool = False) -> DataFrame:
-    """(src, dst): links between nodes (id, fp and, if sized, size) within most bits; all pairs, or for full buckets a set
-    of links that joins the same nodes. sized also asks that sizes differ by a factor of 1.25 at most."""
+    """(src, dst): links between nodes (id, fp and, if sized, size) within most bits; all pairs, or for full buckets and a
+    most of 2 or less a set of links that joins the same nodes. sized also asks that sizes differ by a factor of 1.25 at most."""
     keys = ["grade"] if sized else []
     base = nodes.select("id", "fp", *[F.floor(F.log(1.25, F.greatest("size", F.lit(1)).cast("double"))).cast("int").alias("grade")] * sized)
     layout = choose(base, most, keys)
@@ -193,13 +193,18 @@ def links(nodes: DataFrame, most: int, sized: bool = False) -> DataFrame:
     if sized:  # the larger of two probes the grade below its own, too
         rows = rows.select("id", "fp", "part", "key", F.explode(F.array(F.struct("grade", "own"), F.struct((F.col("grade") - 1).alias("grade"), F.lit(False).alias("own")))).alias("g")).select("id", "fp", "part", "key", "g.grade", "g.own")
     by = ["part", "key", *keys]
-    buckets = cut(rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("own").cast("bigint")).alias("m"), F.min(F.when(F.col("own"), F.struct("id", "fp"))).alias("first")).where("n > 1 and m > 0"), "buckets")
+    buckets = cut(rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("own").cast("bigint")).alias("m")).where("n > 1 and m > 0"), "buckets")
     full = F.col("n") * F.col("m") > PAIRS
-    met = cut(rows.join(buckets.withColumn("full", full).drop("n", "m"), by), "met")
-    few = met.where("not full").select(*by, "id", "fp", "own")
-    a, b = few.alias("a"), few.where("own").alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by] + [F.col("a.id") != F.col("b.id"), (~F.col("a.own")) | (F.col("a.id") < F.col("b.id")), distance(F.col("a.fp"), F.col("b.fp")) <= most]
+    # Of full buckets, each block has a share of the rows and all the bucket's own members.
+    blocks = F.when(full, F.ceil(F.sqrt(F.col("n") * F.col("m") / PAIRS))).otherwise(1).cast("int")
+    met = cut(rows.join(buckets.withColumn("full", full if most <= 2 else F.lit(False)).withColumn("blocks", blocks).drop("n", "m"), by), "met")
+    few = met.where("not full").select(*by, "id", "fp", "own", "blocks")
+    a = few.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).alias("a")
+    b = few.where("own").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, "block"]] + [F.col("a.id") != F.col("b.id"), (~F.col("a.own")) | (F.col("a.id") < F.col("b.id")), distance(F.col("a.fp"), F.col("b.fp")) <= most]
     pairs = a.join(b, on).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    if most > 2:
+        return cut(pairs.distinct(), "near-links")
     many = cut(met.where("full").select("id", "fp").distinct(), "in-full-buckets")
     flips = F.explode(F.array(*[F.struct(F.col("fp").bitwiseXOR(F.lit(signed(c))).alias("key"), F.lit(c == 0).alias("own")) for c in [0, *(1 << b for b in range(BITS))]]))
     # At most 65 fingerprints are within one bit of a given one, and equal ones are combined before.
@@ -207,11 +212,7 @@ def links(nodes: DataFrame, most: int, sized: bool = False) -> DataFrame:
     near = near.agg(F.min(F.when(F.col("x.own"), F.col("id"))).alias("center"), F.collect_list("id").alias("ids"))
     near = near.select((F.array_min("ids") if most > 1 else F.col("center")).alias("src"), F.explode("ids").alias("dst")).where("src != dst")
     same = many.join(many.groupBy("fp").agg(F.min("id").alias("first")), "fp").where("id != first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
-    found = pairs.union(near).union(same)
-    if most > 2:
-        lead = met.where("full").where((F.col("id") != F.col("first.id")) & (distance(F.col("fp"), F.col("first.fp")) <= most))
-        found = found.union(lead.select(F.col("first.id").alias("src"), F.col("id").alias("dst")))
-    return cut(found.distinct(), "near-links")
+    return cut(pairs.union(near).union(same).distinct(), "near-links")
 
 
 def near_duplicates(df: DataFrame, width: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +220,7 @@ def near_duplicates(df: DataFrame, width: int = 3, most: int = 2, id_col: str =
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; rows with equal doc_id or text get
     a row each; rows with a null doc_id are linked, but give no component its number (null if it has no other); an
-    empty table gives an empty result; other columns are ignored. most is 2 or less for exact links in full buckets.
+    empty table gives an empty result; other columns are ignored.
     """
     fps = cut(fingerprints(df, width, False, id_col, text_col).select("doc_id", "fp"), "fingerprints")
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")

@@ -75,6 +75,23 @@ def test_links_join_what_brute_force_joins(spark, monkeypatch, most, limit):
     assert brute_components([(r.src, r.dst) for r in found], fps) == want
 
 
+def test_full_buckets_are_compared_whole(spark, monkeypatch):
+    """Every pair within six bits, not only those near a bucket's first member or two bits apart."""
+    monkeypatch.setattr(S, "PAIRS", 16)
+    rng = random.Random(9)
+    fps = set()
+    for b in (0, 2**64 - 1, rng.getrandbits(64)):
+        for _ in range(25):
+            x = b
+            for bit in rng.sample(range(64), rng.randrange(0, 9)):
+                x ^= 1 << bit
+            fps.add(S.signed(x))
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long").select(F.col("fp").alias("id"), "fp")
+    want = {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 6}
+    assert {frozenset((r.src, r.dst)) for r in S.links(nodes, 6).collect()} == want and len(want) > 100
+
+
 def test_near_duplicates(spark):
     words = [f"w{i}" for i in range(400)]
     text = " ".join(words)
