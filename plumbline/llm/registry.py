@@ -31,7 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op2_simhash": op2_simhash,
     "op6_quality_rules": rules_sql(),
     "op8_licences": scan_sql(),
 }
