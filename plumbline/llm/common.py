@@ -1,15 +1,25 @@
-"""What the operators of this package share: reading tables, and cutting lineage with tables in the cluster's shared folder."""
+"""What the operators of this package share: reading tables, batches of bounded size for Python workers, and cutting
+lineage with tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words, as in the class [^\x20\x09-\x0D].
 SPACES = r"\x20\x09-\x0D"
+#: Bytes of text that a Python worker turns into objects at a time; a longer text comes alone. It only bounds memory.
+SLICE = 2 << 20
+#: Folders of the tables made by cut(), for sweep().
+_made: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset a folder of our own is made, in a
+    session of one machine only: on a cluster every executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,16 +44,42 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that no later step reads."""
+    """Delete tables made by cut() that no later step reads. The driver's garbage is collected, too: only then does Spark
+    remove the shuffle files of the steps that made them."""
     for df in tables:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path = file.rsplit("/", 1)[0]
+            _delete(df.sparkSession, path)
+            _made.difference_update({p for p in _made if p.rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]})
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that cut() made and that are still there, and return their number. Results of operators read such
+    tables: call it when the results have been written."""
+    for path in (gone := sorted(_made)):
+        _delete(spark, path)
+    _made.clear()
+    return len(gone)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,3 +90,34 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text as an array; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACES}]+"), F.lit(0))
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about ``most`` bytes, a longer text alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _give_back() -> None:
+    """Return memory that is free to the system. A worker serves many tasks, and what it keeps adds up with its executor's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, by: str | None = "text", most: int = SLICE) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches cut into slices by the bytes of the column ``by``, and with what the task's
+    Python worker no longer needs given back when it ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(part for batch in batches for part in ([batch] if by is None else slices(batch, by, most)))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(whole, schema)
