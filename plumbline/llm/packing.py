@@ -10,8 +10,8 @@ within it; no length is gathered in one task.
 
 from __future__ import annotations
 
-import re
-import struct
+import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,45 +22,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, discard, documents, texts
-from plumbline.llm.pieces import slices
+from plumbline.llm.common import cut, documents, mapped, texts
 
 MAX_TOKENS = 2048
 MODEL = "byte_bpe_50k.json"
-#: Units kept in a worker's table, and the longest that is kept. Both only bound memory.
-TABLE, LONGEST = 500_000, 48
-#: White space as the tokenizer's pattern knows it; Python's \s has four characters more.
-BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of letters with its blank that something other than a letter follows is a unit, else all up to the next white space.
-UNIT = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\\[-`{{-\x7f]|\\Z)| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+#: Fixed value: how byte-level vocabularies cut a text before they merge.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in files of byte-level vocabularies: itself if it can be printed, else the
+    next after the 256th code point."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranked(path: str):
+    """The vocabulary as ranks of byte strings, for a library that merges by rank and is several times as fast; None if
+    the file asks for anything that ranks alone do not say."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, pre = file["model"], file["pre_tokenizer"] or {}
+    asks = [file["normalizer"], model.get("dropout"), model.get("unk_token"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("byte_fallback"), model.get("ignore_merges")]
+    if model.get("type") != "BPE" or any(asks) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in pairs]
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    letters = byte_letters()
+    if any(a >= b for a, b in itertools.pairwise(order)) or any(c not in letters for w in model["vocab"] if w not in special for c in w):
+        return None
+    ranks = {bytes(letters[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Tokens:
-    """Ids by the tokenizers library, one call for the units of a batch that are not in the table yet."""
+    """The ids that the tokenizers library gives. Texts with a special token's string are given to it; all others go to the
+    faster library over the same vocabulary, which gives equal ids, but for those that its pattern cannot take."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.table: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers; a text with a special token in it is given to the library whole."""
-        whole = [any(s in t for s in self.special) for t in texts]
-        cut = [[] if w else UNIT.findall(t) for t, w in zip(texts, whole, strict=True)]
-        seen = set().union(*cut)
-        held = {u: b for u in seen if (b := self.table.get(u) or self.older.get(u))}
-        new = list(seen - held.keys())
-        held.update(zip(new, self.ids(new), strict=True))
-        if len(self.table) > TABLE:
-            self.older, self.table = self.table, {}
-        self.table.update((u, b) for u, b in held.items() if len(u) <= LONGEST)
-        return [self.ids([t])[0] if w else b"".join(map(held.__getitem__, units)) for t, w, units in zip(texts, whole, cut, strict=True)]
+        self.fast = ranked(path)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # a run of very many blanks
+                pass
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "u4")
 
 
 _tokens: dict[str, Tokens] = {}
@@ -79,28 +95,27 @@ def tokenise(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, count = tokens(path), TaskContext.get().partitionId(), np.zeros(max_tokens + 1, "i8")
-        end = struct.pack("<I", end_id)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                rows = []
-                for at, raw in enumerate(tok.encode(batch.column("text").to_pylist())):
-                    raw += end
-                    n = len(raw) // 4
-                    first = n % max_tokens or min(n, max_tokens)
-                    bounds = [0, *range(first, n + 1, max_tokens)]
-                    for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        own = raw[4 * a : 4 * b]
-                        rows.append((at, piece, a, b - a, zlib.crc32(own), part, int(count[b - a]), own))
-                        count[b - a] += 1
-                at, piece, start, length, crc, parts, nth, own = zip(*rows, strict=True)
-                out = [batch.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(parts, pa.int32()), pa.array(nth, pa.int64())]
-                if with_ids:
-                    out.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in own], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"][: len(out)])
+        for batch in batches:
+            rows, own = [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                ids = np.append(tok.encode(text), np.uint32(end_id)).astype("<u4")
+                first = len(ids) % max_tokens or min(len(ids), max_tokens)
+                a, b, piece = 0, first, 0
+                while a < len(ids):
+                    rows.append((at, piece, a, b - a, zlib.crc32(ids[a:b]), int(count[b - a])))
+                    if with_ids:
+                        own.append(ids[a:b].astype("i4"))
+                    count[b - a] += 1
+                    a, b, piece = b, b + max_tokens, piece + 1
+            at, piece, start, length, crc, nth = zip(*rows, strict=True)
+            out = [batch.column("doc_id").take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(rows), part, "i4")), pa.array(nth, pa.int64())]
+            if with_ids:
+                out.append(pa.array(own, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"][: len(out)])
 
     src = texts(df)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint" + ", ids array<int>" * with_ids)
+    return mapped(src, run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint" + ", ids array<int>" * with_ids)
 
 
 def patterns(max_tokens: int, present: np.ndarray) -> np.ndarray:
@@ -220,9 +235,10 @@ def pack(df: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int = 0
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("nth") + F.col("before")).alias("rank"))
-    kind = ranked.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids + ", sequence_id bigint, offset bigint")
+    # A merge join: the counts grow with the number of input partitions, and are not to be broadcast.
+    numbered = pieces.join(offsets.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("nth") + F.col("before")).alias("rank"))
+    kind = numbered.schema["doc_id"].dataType.simpleString()
+    return mapped(numbered, place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids + ", sequence_id bigint, offset bigint", by=None)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import documents, texts
+from plumbline.llm.common import documents, mapped, texts
 
 MODEL = "piece_bpe_32k.model"
 #: Units kept in a worker's table, and the longest that is kept. Both only bound memory.
@@ -141,17 +141,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have about ``most`` characters, a longer text alone."""
-    sizes = np.cumsum([len(x) for x in batch.column(column).to_pylist()])
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def encode_frame(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int), decoded (string) and n_disagreements for every row of df.
 
@@ -161,14 +150,13 @@ def encode_frame(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                raw, differ = enc.encode(batch.column("text").to_pylist())
-                ids = [np.frombuffer(b, dtype="<u4").astype("i4") for b in raw]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.lib.decode(i.tolist()) for i in ids]), pa.array(differ, pa.int64())], ["doc_id", "ids", "decoded", "n_disagreements"])
+        for batch in batches:
+            raw, differ = enc.encode(batch.column("text").to_pylist())
+            ids = [np.frombuffer(b, dtype="<u4").astype("i4") for b in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.lib.decode(i.tolist()) for i in ids]), pa.array(differ, pa.int64())], ["doc_id", "ids", "decoded", "n_disagreements"])
 
     src = texts(df, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string, n_disagreements bigint")
+    return mapped(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string, n_disagreements bigint", most=4 << 20)
 
 
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,23 +164,22 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                raw, differ = enc.encode(batch.column("text").to_pylist())
-                decoded = enc.lib.decode([np.frombuffer(b, dtype="<u4").tolist() for b in raw])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array([len(b) // 4 for b in raw], pa.int64()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in raw]),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-                        pa.array(differ, pa.int64()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_disagreements"],
-                )
+        for batch in batches:
+            raw, differ = enc.encode(batch.column("text").to_pylist())
+            decoded = enc.lib.decode([np.frombuffer(b, dtype="<u4").tolist() for b in raw])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(b) // 4 for b in raw], pa.int64()),
+                    pa.array([hashlib.sha256(b).hexdigest() for b in raw]),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+                    pa.array(differ, pa.int64()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_disagreements"],
+            )
 
     src = texts(df, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_disagreements bigint")
+    return mapped(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_disagreements bigint", most=4 << 20)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

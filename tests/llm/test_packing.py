@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from plumbline.llm.packing import MODEL, fit, pack, patterns, plan, tokens
@@ -37,10 +39,54 @@ def test_fit_finds_an_exact_mixture():
     assert np.abs(used[1:] - hist[1:]).max() < 0.5 and (x >= 0).all()
 
 
-def test_units_give_the_library_s_ids():
+def ids_of(tok, text):
+    return tok.encode(text).tolist()
+
+
+def test_ids_are_the_library_s():
+    tok, lib = tokens(public_tokenizers.path(MODEL)), Tokenizer.from_file(public_tokenizers.path(MODEL))
+    assert tok.fast is not None
+    for t in [*TEXTS, " " * 300_000 + "a", "\t \n" * 100_000, "ab" * 50_000]:
+        assert ids_of(tok, t or "") == lib.encode(t or "", add_special_tokens=False).ids
+
+
+def test_ids_are_the_library_s_for_every_code_point():
     tok, lib = tokens(public_tokenizers.path(MODEL)), Tokenizer.from_file(public_tokenizers.path(MODEL))
-    for t in TEXTS:
-        assert np.frombuffer(tok.encode([t or ""])[0], "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 100_000):
+        texts = [f"a{c}b {c} {c}{c}1 {c}x  {c}!'s{c}\n{c}" for c in points[at : at + 100_000]]
+        for t, e in zip(texts, lib.encode_batch_fast(texts, add_special_tokens=False)):
+            assert ids_of(tok, t) == e.ids
+
+
+def test_ids_are_the_library_s_on_a_whole_table():
+    import pyarrow.parquet as pq
+
+    tok, lib = tokens(public_tokenizers.path(MODEL)), Tokenizer.from_file(public_tokenizers.path(MODEL))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for t, e in zip(texts, lib.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids_of(tok, t) == e.ids
+
+
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["the", " ", "th", "er", "'s", "\n", "  ", "1", "é", "ing", "INT", "日", "_", "-"]), max_size=40).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_ids_are_the_library_s_for_any_text(text):
+    path = public_tokenizers.path(MODEL)
+    assert ids_of(tokens(path), text) == tokens(path).lib.encode(text, add_special_tokens=False).ids
+
+
+def test_files_that_ranks_do_not_describe_are_left_to_the_library(tmp_path):
+    import json
+
+    file = json.load(open(public_tokenizers.path(MODEL)))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = tmp_path / "own.json"
+        path.write_text(json.dumps(file | change))
+        tok = tokens(str(path))
+        assert tok.fast is None and ids_of(tok, "Some Text") == Tokenizer.from_file(str(path)).encode("Some Text", add_special_tokens=False).ids
+        from plumbline.llm import packing
+
+        packing._tokens.clear()
 
 
 def test_pack(spark):
