@@ -3,8 +3,9 @@
 A document is the bag of its word unigrams and bigrams, hashed to ``BUCKETS`` buckets. Two generative models, bucket
 frequencies of the target text (labelled as good) and of all raw text, give it the log importance weight
 sum(log p_target - log p_raw); with Gumbel noise added, the k largest keys are a sample without replacement in
-proportion to the weights. Both models count all documents. The k-th largest key is found by radix selection: counts
-by 16 bits at a time, so the driver sees at most 65,536 counts a step, however many documents there are.
+proportion to the weights. Both models count all documents. The k-th largest key is found by radix selection over the
+bits of the exact keys: counts by 16 bits at a time, so the driver sees at most 65,536 counts a step, however many
+documents there are.
 """
 
 from __future__ import annotations
@@ -13,18 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, documents, texts
+from plumbline.llm.common import cut, documents, mapped, texts
 from plumbline.llm.simhash import split_words
 
 BUCKETS = 10_000
 SEED = 11
 #: Words whose hashes a worker keeps; only bounds memory.
 TABLE = 1_000_000
-#: Keys are compared in steps of 1 / SCALE.
-SCALE = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,21 +61,32 @@ def model(df: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     counts = np.ones(BUCKETS)
-    for r in df.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in mapped(df.select("text"), run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[r["bucket"]] += r["n"]  # BUCKETS rows
     return np.log(counts / counts.sum())
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """Integers in the order of the given doubles, equal for equal doubles only."""
+    bits = (keys + 0.0).view("i8")
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
 def weighted(df: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id and log_weight for every row; ratio is the log ratio of the models by bucket."""
+    """doc_id, log_weight, gumbel_key, and for the selection _key, _tie and _row (a number of its own) for every row of df
+    (doc_id, text, noise); ratio is the log ratio of the models by bucket, noise a hash of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, row = Hasher(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            own = [float(ratio[hasher.buckets(t)].sum()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.float64())], ["doc_id", "log_weight"])
+            own = np.array([float(ratio[hasher.buckets(t)].sum()) for t in batch.column("text").to_pylist()])
+            noise = batch.column("noise").to_numpy()
+            u = ((noise & np.int64((1 << 52) - 1)).astype("f8") + 0.5) / float(1 << 52)
+            key = own - np.log(-np.log(u))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own), pa.array(key), pa.array(ordered(key)), pa.array(noise), pa.array(np.arange(row, row + len(own)))], ["doc_id", "log_weight", "gumbel_key", "_key", "_tie", "_row"])
+            row += len(own)
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, log_weight double")
+    return mapped(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, log_weight double, gumbel_key double, _key bigint, _tie bigint, _row bigint")
 
 
 def threshold(df: DataFrame, column: str, k: int) -> int | None:
@@ -100,33 +111,39 @@ def threshold(df: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 63)
 
 
+def largest(df: DataFrame, k: int, columns: tuple[str, ...]) -> Column:
+    """True for the k largest rows of df (which has more) by the given bigint columns, the last of which tells all rows apart."""
+    kept, edge = F.lit(False), F.lit(True)
+    for c in columns:
+        at = threshold(df.where(edge), c, k)
+        above, edge = edge & (F.col(c) > at), edge & (F.col(c) == at)
+        k -= df.where(above).count()
+        kept = kept | above
+        if df.where(edge).count() == k:
+            break
+    return kept | edge
+
+
 def resample(df: DataFrame, target: DataFrame, k: int | None = None, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, log_weight, gumbel_key and kept for every row; target holds the ids of the target text in ``doc_id``.
+    """doc_id, log_weight, gumbel_key and kept for every row; target holds the ids of the target text in ``doc_id``, which may
+    be of any type.
 
-    k rows are kept (or that share of all rows): those with the largest keys. Keys are rounded to steps of 1 / SCALE; of
-    rows with the key at the edge, the least doc_ids are kept, and rows that share that doc_id and key are kept or not
-    together. Null and empty texts weigh nothing (0); a null doc_id has its own noise; with no target text all weights are
-    those of an even model; an empty table gives an empty result; other columns are ignored.
+    Exactly k rows are kept (or that share of all rows): those with the largest keys. Of rows with the key at the edge, those
+    with the largest hash of doc_id are kept, and of rows with equal keys and ids any. Null and empty texts weigh nothing (0);
+    a null doc_id has its own noise; with no target text all weights are those of an even model; an empty table gives an
+    empty result; other columns are ignored.
     """
-    src = texts(df, id_col, text_col)
+    # A hash of the id gives the noise, so that a lost task draws the same again.
+    src = texts(df, id_col, text_col).withColumn("noise", F.xxhash64("doc_id", F.lit(SEED)))
     raw = model(src)
     # A merge join at every size: the ids grow with the corpus, and a plan that broadcasts few and shuffles many would not
     # tell from a small run what a large one needs.
     good = model(src.join(target.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
-    # A hash of the id gives the noise, so that a lost task draws the same again.
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = weighted(src, good - raw).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
-    keyed = cut(keyed.withColumn("_step", F.round(F.col("gumbel_key") * SCALE).cast("bigint")), "importance")
+    keyed = cut(weighted(src, good - raw), "importance")
     n = keyed.count()
     k = round(n * share) if k is None else k
-    if k >= n or k <= 0:
-        return keyed.drop("_step").withColumn("kept", F.lit(k > 0))
-    edge = threshold(keyed, "_step", k)
-    above = keyed.where(F.col("_step") > edge).count()
-    ties = keyed.where(F.col("_step") == edge).select((-F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).alias("_id"))
-    last = threshold(ties, "_id", k - above)
-    at_edge = (F.col("_step") == edge) & (F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)) <= -last)
-    return keyed.withColumn("kept", (F.col("_step") > edge) | at_edge).drop("_step")
+    kept = F.lit(k > 0) if k >= n or k <= 0 else largest(keyed, k, ("_key", "_tie", "_row"))
+    return keyed.select("doc_id", "log_weight", "gumbel_key", kept.alias("kept"))
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
