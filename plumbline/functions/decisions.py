@@ -22,15 +22,18 @@ def is_matched(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
 
 
 def resolve_branch(excludes: Column, median: Column, positive: str, negative: str, none: str) -> Column:
-    return F.when(excludes & (median > 0), positive).when(excludes & (median < 0), negative).otherwise(none)
+    """A lookup: no separation, or the side of the median; a median of exactly 0 counts as negative."""
+    return F.when(~excludes, none).when(median > 0, positive).otherwise(negative)
 
 
 def parametric_reading(accuracy: Column) -> Column:
-    return F.when(accuracy <= 0.10, "low").when(accuracy <= 0.30, "middle").otherwise("high")
+    return F.when(accuracy <= 0.10, "holds").when(accuracy <= 0.30, "partial_leak").otherwise("does_not_ground")
 
 
 def hop_branch(low: Column, high: Column, hop1_excludes: Column) -> Column:
-    return F.when(hop1_excludes, "H4").when(low > 0, "H2").when(high < 0, "H1").otherwise("H3")
+    """H4-confounded if the first stratum separates by itself; else H2 if the contrast does not separate, H1 if it lies below
+    zero, H3 above."""
+    return F.when(hop1_excludes, "H4-confounded").when(~excludes_zero(low, high), "H2").when(high < 0, "H1").otherwise("H3")
 
 
 def gate_branch(accuracy: Column, any_hit: Column) -> Column:
@@ -42,10 +45,15 @@ def decline_gate(declines: Column, errors: Column, share: float = DECLINE_SHARE)
     return F.coalesce(declines / F.nullif(declines + errors, F.lit(0)) >= share, F.lit(False))
 
 
-def knee_width_branch(low: Column, high: Column, first: Column, last: Column, width: float = 0.05, near: float = 0.005) -> Column:
-    """N3 if the interval touches an end of the range, N1 if it is narrow, else N2."""
+def knee_width_branch(low: Column, high: Column, first: Column, last: Column, slope_low: Column, slope_high: Column, width: float = 0.05, near: float = 0.005) -> Column:
+    """N3 if the slope's interval holds zero, N1 if the knee's interval is narrow and touches no end of the range, else N2."""
     touches = (low <= first + near) | (high >= last - near)
-    return F.when(touches, "N3").when(high - low <= width, "N1").otherwise("N2")
+    return F.when((slope_low <= 0) & (slope_high >= 0), "N3").when((high - low <= width) & ~touches, "N1").otherwise("N2")
+
+
+def gate_verdict(accuracy: Column, passing: float = 0.05, failing: float = 0.10) -> Column:
+    """Whether a run without retrieval knows too much: pass, investigate or fail."""
+    return F.when(accuracy <= passing, "pass").when(accuracy <= failing, "investigate").otherwise("fail")
 
 
 def share_branch(share: Column) -> Column:
@@ -63,9 +71,26 @@ def four_sample(disagreement: Column) -> Column:
     return F.when(disagreement.between(0, 0.5), F.struct(p.alias("p"), (1 - F.pow(p, 4.0) - F.pow(1 - p, 4.0)).alias("four")))
 
 
-def adjudicate(a: Column, b: Column, eligible: str = "eligible") -> Column:
-    """Two labels as one: equal ones stay, a split resolves to eligible."""
-    return F.when(a == b, a).otherwise(F.lit(eligible))
+#: Labels of eligibility, and those of them that make a question ineligible.
+LABELS = ("eligible", "ambiguous", "wrong_gold", "stale_gold", "unanswerable")
+INELIGIBLE, DISPUTED = ("ambiguous", "wrong_gold", "stale_gold", "unanswerable"), "ineligible_class_disputed"
+
+
+def valid_label(label: Column) -> Column:
+    return F.coalesce(label.isin(*LABELS), F.lit(False))
+
+
+def binary_label(label: Column) -> Column:
+    return F.when(label.isin(*INELIGIBLE), "ineligible").otherwise("eligible")
+
+
+def adjudicate(a: Column, b: Column) -> Column:
+    """Two labels as (binary, class): a split on eligibility resolves to eligible, one on the kind of ineligibility is
+    disputed; an unknown label fails."""
+    known = valid_label(a) & valid_label(b)
+    out = a.isin(*INELIGIBLE) & b.isin(*INELIGIBLE)
+    binary = F.when(~known, F.raise_error(F.lit("unknown label")).cast("string")).when(out, "ineligible").otherwise("eligible")
+    return F.struct(binary.alias("binary"), F.when(~out, "eligible").when(a == b, a).otherwise(DISPUTED).alias("class"))
 
 
 def page_cap(n: Column, share: float = 0.02) -> Column:

@@ -37,14 +37,25 @@ def disagreement_gate(n: Column, disagreements: Column, want: int = 20, most: in
     return (n == want) & (disagreements <= most)
 
 
-def concordance_gate(n: Column, agree: Column, share: float) -> Column:
+def concordance_gate(n: Column, agree: Column, share: float = 0.60) -> Column:
     """Passes without rows."""
     return (n == 0) | (agree / F.nullif(n, F.lit(0)) >= share)
 
 
-def uphold_gate(n: Column, upheld: Column, share: float, least: int = 10) -> Column:
-    """Null where there are too few proposals to tell."""
-    return F.when(n >= least, upheld / n >= share)
+def uphold_gate(n: Column, upheld: Column, ceiling: float = 0.90, least: int = 10) -> Column:
+    """Whether a verifier bites: it upholds at most this share of the proposals, or there are too few to tell."""
+    return (n < least) | (upheld / F.nullif(n, F.lit(0)) <= ceiling)
+
+
+def floor_gate(hops: Column, share: float = 0.30) -> Column:
+    """An aggregate: both hops of enough questions were retrieved; false without questions."""
+    return F.coalesce(F.avg((hops >= 2).cast("int")) >= share, F.lit(False))
+
+
+def ladder_gap(recalls: Column, low: float = 0.80, high: float = 0.97) -> Column:
+    """The largest step between neighbours among the recalls (an array) inside the band; 0 for fewer than two."""
+    own = F.array_sort(F.filter(recalls, lambda r: r.between(low, high)))
+    return F.coalesce(F.array_max(F.transform(own, lambda r, i: F.when(i > 0, r - F.get(own, i - 1)).otherwise(F.lit(0.0)))), F.lit(0.0))
 
 
 def class_changed(before: Column, after: Column) -> Column:
@@ -71,20 +82,20 @@ def mechanism(low: Column, high: Column, matched: Column, margin: float = 0.05)
 
 
 def membership(expected: Column, included: Column) -> Column:
-    """Whether all, some or none of the expected items are included."""
+    """Whether all, some or none of the expected items are included; fails where none are expected."""
     n = F.size(F.array_intersect(expected, included))
-    return F.when(n == 0, "none").when(n == F.size(F.array_distinct(expected)), "all").otherwise("partial")
+    return F.when(F.size(expected) == 0, F.raise_error(F.lit("no expected items")).cast("string")).when(n == 0, "none").when(n == F.size(F.array_distinct(expected)), "all").otherwise("partial")
 
 
 def apply_verdict(verdict: Column, old: Column, new: Column) -> Column:
-    """Golds after a verdict: keep and unanswerable leave them, augment adds, replace exchanges and needs new ones."""
+    """Golds after a verdict: keep and unanswerable_from_corpus leave them, augment adds, replace exchanges and needs new ones."""
     replaced = F.when(F.size(new) > 0, new).otherwise(F.raise_error(F.lit("replace without golds")).cast("array<string>"))
     unknown = F.raise_error(F.concat(F.lit("unknown verdict "), verdict)).cast("array<string>")
-    return F.when(verdict.isin("keep", "unanswerable"), old).when(verdict == "augment", F.concat(old, F.array_except(new, old))).when(verdict == "replace", replaced).otherwise(unknown)
+    return F.when(verdict.isin("keep", "unanswerable_from_corpus"), old).when(verdict == "augment", F.concat(old, F.array_except(new, old))).when(verdict == "replace", replaced).otherwise(unknown)
 
 
 def changed(verdict: Column, old: Column, new: Column) -> Column:
-    return F.when(apply_verdict(verdict, old, new) == old, "kept").otherwise("changed")
+    return F.when(apply_verdict(verdict, old, new) == old, "unchanged").otherwise("changed")
 
 
 def equal_prompts(df: DataFrame, expected: str, actual: str) -> DataFrame:

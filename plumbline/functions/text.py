@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType
 
 ARTICLES = r"\b(a|an|the)\b"
 PUNCTUATION = "[" + "".join("\\" + c for c in string.punctuation) + "]"
-#: Phrases that decline to answer.
-DECLINES = ("i don't know", "i do not know", "idk")
+#: Fixed value: the phrase that declines to answer, and no other.
+DECLINE = "i don't know"
 TEXT_EXTENSIONS = ("py", "md", "txt", "rst", "toml", "yaml", "yml", "json", "cfg", "ini", "html", "css", "js", "ts", "sh", "sql")
 
 
@@ -55,15 +55,20 @@ def f1(pred: Column, golds: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(golds, lambda g: token_f1(pred, g))), F.lit(0.0))
 
 
+def stripped(s: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def is_decline(pred: Column) -> Column:
-    """True if the whole answer is a declining phrase; curly apostrophes and a final . or ! do not matter."""
-    folded = F.rtrim(F.regexp_replace(F.translate(F.lower(F.trim(pred)), "’", "'"), r"[.!]+$", ""))
-    return F.coalesce(folded.isin(*DECLINES), F.lit(False))
+    """True if the whole answer is the declining phrase; curly apostrophes and . or ! at the end do not matter."""
+    folded = stripped(F.regexp_replace(F.translate(stripped(pred), "’", "'"), r"[.!]+$", ""))
+    return F.coalesce(F.lower(folded) == DECLINE, F.lit(False))
 
 
 def is_decline_prefix(pred: Column) -> Column:
     """True if the first line declines; null does not."""
-    return is_decline(F.split(F.trim(pred), "\n")[0])
+    return is_decline(F.split(stripped(pred), "\n")[0])
 
 
 def parse_golds(golds: Column) -> Column:
@@ -73,16 +78,136 @@ def parse_golds(golds: Column) -> Column:
 
 
 def answer_present(golds: Column, texts: Column) -> Column:
-    """True if any gold, both already normalised, is part of the texts joined by blanks; false without texts."""
+    """True if any gold is part of the texts joined by blanks, all normalised by norm_text() before; false without texts."""
     blob = F.array_join(texts, " ")
     return (F.size(texts) > 0) & F.exists(golds, lambda g: F.contains(blob, g))
 
 
+#: Fixed value: an alias with fewer normalised characters cannot be told from other text.
+MIN_ALIAS = 3
+
+
+def alias_of(norm: Column) -> Column:
+    """A gold normalised by norm_text() with its white space collapsed; may be empty."""
+    return collapse(norm)
+
+
+def alias_usable(norm: Column) -> Column:
+    return F.length(alias_of(norm)) >= MIN_ALIAS
+
+
+def degenerate_golds(norms: Column) -> Column:
+    """True if no alias of the array is usable."""
+    return ~F.exists(norms, alias_usable)
+
+
+def answer_present_words(norms: Column, texts: Column) -> Column:
+    """True if a usable alias occurs between word boundaries in the texts, all normalised; false without texts."""
+    blob = F.concat(F.lit(" "), F.array_join(texts, " "), F.lit(" "))
+    found = lambda g: alias_usable(g) & F.contains(blob, F.concat(F.lit(" "), alias_of(g), F.lit(" ")))
+    return (F.size(texts) > 0) & F.exists(norms, found)
+
+
+def in_primary(norms: Column, texts: Column, subset: Column) -> Column:
+    """Whether a question can be scored by presence: of the main subset, with a usable gold that its reference texts have."""
+    return F.coalesce((subset == "main") & ~degenerate_golds(norms) & answer_present_words(norms, texts), F.lit(False))
+
+
+#: What a review of golds can say.
+VERDICTS = ("keep", "augment", "replace", "unanswerable_from_corpus")
+
+
+def verdict_problem(verdict: Column, old: Column, new: Column, new_norms: Column) -> Column:
+    """Why a verdict and the golds it gives contradict one another, null if they do not. old and new are arrays of golds
+    (null for none), new_norms the normalised new ones."""
+    old_, new_ = F.array_sort(F.array_distinct(old)), F.array_sort(F.array_distinct(F.coalesce(new, F.array().cast("array<string>"))))
+    none, same = F.size(new_) == 0, new_ == old_
+    grows = (F.size(F.array_except(old_, new_)) == 0) & (F.size(new_) > F.size(old_))
+    unmatched = degenerate_golds(F.coalesce(new_norms, F.array().cast("array<string>")))
+    return (
+        F.when(~F.coalesce(verdict.isin(*VERDICTS), F.lit(False)), F.concat(F.lit("unknown verdict "), F.coalesce(verdict, F.lit("null"))))
+        .when(verdict == "keep", F.when(~none & ~same, "keep must not change the golds"))
+        .when(verdict == "unanswerable_from_corpus", F.when(~none, "unanswerable_from_corpus must supply no golds"))
+        .when((verdict == "augment") & ~grows, "augment must add at least one alias and drop none")
+        .when((verdict == "replace") & none, "replace must supply a non-empty gold list")
+        .when((verdict == "replace") & same, "replace must differ from the existing golds")
+        .when(unmatched, "no proposed alias is long enough to be matchable")
+    )
+
+
+NO_PASSAGES = "(no passages were retrieved)"
+
+
+def render_context(passages: Column) -> Column:
+    """An array of (title, text) as numbered blocks parted by blank lines; a fixed sentence for none."""
+    blocks = F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p["title"], F.lit("\n"), p["text"]))
+    return F.when(F.size(passages) > 0, F.array_join(blocks, "\n\n")).otherwise(NO_PASSAGES)
+
+
+def user_message(context: Column, question: Column) -> Column:
+    return F.concat(F.lit("Passages:\n\n"), context, F.lit("\n\nQuestion: "), question)
+
+
+#: Words that say little in a title.
+STOPWORDS = """a an the is are was were be been being do does did of
+in on at to for with by from as it its this that these those and or but if then
+than so what which who where when why how not no can could should would will
+have has had i you he she we they them us me my your our there here all any
+both each few more most other some such only own same too very just about into
+over after before between under again further once during above below up down
+out off""".split()
+MIN_HEAD_WORDS = 4
+
+
+def redact_references(text: Column) -> Column:
+    """#n as #…, so that a question does not name the next thread."""
+    return F.regexp_replace(text, r"(?<![\w/#])#\d+\b", "#…")
+
+
+def degenerate_head(title: Column) -> Column:
+    """Whether too few words that say something are left of a title whose references are redacted."""
+    words = F.regexp_extract_all(F.lower(redact_references(first_sentence(F.coalesce(title, F.lit(""))))), F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0))
+    return F.size(F.filter(words, lambda w: ~w.isin(*STOPWORDS))) < MIN_HEAD_WORDS
+
+
+def thread_question(repo: Column, title: Column) -> Column:
+    """A question in the words of a thread's title; fails if it names another thread."""
+    asked = F.concat(F.lit("In "), repo, F.lit(', someone reported: "'), redact_references(first_sentence(title)), F.lit('" What was this eventually traced to, and what resolved it?'))
+    leaks = F.size(references(asked)) > 0
+    return F.when(leaks, F.raise_error(F.concat(F.lit("question names a thread: "), asked)).cast("string")).otherwise(asked)
+
+
+def is_pull_request(thread: Column) -> Column:
+    """The flag if there is one, else whether the thread has a pull request."""
+    return F.coalesce(thread["is_pull_request"], thread["pull_request"].isNotNull())
+
+
+def hops_retrieved(gold_rows: Column, retrieved: Column, k: int = 10) -> Column:
+    """Distinct gold rows among the first k retrieved ids; ids of -1 fill short lists."""
+    top = F.filter(F.slice(retrieved, 1, k), lambda i: i >= 0)
+    return F.size(F.array_intersect(F.array_distinct(gold_rows), top))
+
+
+def padded(ids: Column, width: int) -> Column:
+    """A list of ids cut or filled with -1 to the given width."""
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(-1).cast("bigint"), width)), 1, width)
+
+
+def truthy(value: Column) -> Column:
+    """Whether a flag written as text says yes: true or 1 in any case; blank and null say no."""
+    return F.coalesce(F.lower(value.cast("string")).isin("true", "1"), F.lit(False))
+
+
 def whole_words(needle: Column, haystack: Column) -> Column:
     """True if the needle occurs between word boundaries; an empty needle does not. Both are normalised text."""
     return (needle != "") & F.contains(F.concat(F.lit(" "), collapse(haystack), F.lit(" ")), F.concat(F.lit(" "), needle, F.lit(" ")))
 
 
+def collapsed_key(s: Column) -> Column:
+    """Text to match by: white space collapsed, lower case."""
+    return F.lower(collapse(s))
+
+
 def split_field(value: Column, by: str = ";") -> Column:
     """A separated field as its trimmed parts that are not blank."""
     return F.filter(F.transform(F.split(value, by), lambda x: F.trim(x)), lambda x: x != "")

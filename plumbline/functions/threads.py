@@ -26,7 +26,9 @@ def document(thread: Column) -> Column:
 
 
 def file_name(repo: Column, number: Column) -> Column:
-    return F.concat(F.regexp_replace(repo, "/", "_"), F.lit("__"), F.lpad(number.cast("string"), 4, "0"), F.lit(".md"))
+    """Numbers have four digits at least."""
+    text = number.cast("string")
+    return F.concat(F.regexp_replace(repo, "/", "_"), F.lit("__"), F.lpad(text, F.greatest(F.length(text), F.lit(4)), F.lit("0")), F.lit(".md"))
 
 
 def in_subset(path: Column, include: tuple[str, ...], exclude: tuple[str, ...] = ()) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-PLACEHOLDER = "[…]"
+PLACEHOLDER = "[passage text redacted]"
 
 
 def title_words(s: str | None) -> str:
@@ -51,24 +51,52 @@ def bridges_of(text: str | None, page: str, lookup: frozenset[str] | dict, most:
 
 def longest_common(a: str, b: str, least: int) -> tuple[int, int]:
     """(start in a, length) of the longest common substring of at least ``least`` characters, the first of equals; (0, 0)
-    if there is none. A binary search over lengths with a set of the other text's substrings."""
-
-    def at(n: int) -> int:
-        seen = {b[i : i + n] for i in range(len(b) - n + 1)}
-        return next((i for i in range(len(a) - n + 1) if a[i : i + n] in seen), -1)
-
-    low, high, best = least, min(len(a), len(b)), (0, 0)
-    while low <= high:
-        mid = (low + high) // 2
-        if (i := at(mid)) >= 0:
-            best, low = (i, mid), mid + 1
-        else:
-            high = mid - 1
+    if there is none. A suffix automaton of a, read along b: time and memory in proportion to the lengths."""
+    following: list[dict[str, int]] = [{}]
+    shorter, length, ends = [-1], [0], [0]
+    last = 0
+    for at, c in enumerate(a):
+        new = len(following)
+        following.append({})
+        shorter.append(0)
+        length.append(length[last] + 1)
+        ends.append(at + 1)
+        p = last
+        while p >= 0 and c not in following[p]:
+            following[p][c] = new
+            p = shorter[p]
+        if p >= 0:
+            q = following[p][c]
+            if length[q] == length[p] + 1:
+                shorter[new] = q
+            else:  # q is split: the shorter of its strings occur elsewhere, too
+                copy = len(following)
+                following.append(dict(following[q]))
+                shorter.append(shorter[q])
+                length.append(length[p] + 1)
+                ends.append(ends[q])
+                while p >= 0 and following[p].get(c) == q:
+                    following[p][c] = copy
+                    p = shorter[p]
+                shorter[q] = shorter[new] = copy
+        last = new
+    state, size, best = 0, 0, (0, 0)
+    for c in b:
+        while state and c not in following[state]:
+            state = shorter[state]
+            size = length[state]
+        if c in following[state]:
+            state, size = following[state][c], size + 1
+        if size >= least and size >= best[1]:
+            start = ends[state] - size
+            if size > best[1] or start < best[0]:
+                best = (start, size)
     return best
 
 
-def redact_verbatim(text: str | None, passages: str | None, least: int = 20, fold: bool = True) -> str | None:
-    """The text with its longest stretches that passages have, too, replaced one after another by a placeholder."""
+def redact_verbatim(text: str | None, passages: str | None, least: int = 20, fold: bool = False) -> str | None:
+    """The text with its longest stretches that passages have, too, replaced one after another by a placeholder; case counts
+    unless ``fold`` is set."""
     if not text or not passages:
         return text
     # Lower case that keeps the length, so that places stay.

@@ -14,19 +14,18 @@ GRID = 200
 
 
 def changepoint(x: np.ndarray, y: np.ndarray, grid: int = GRID) -> dict[str, float]:
-    """Two lines that meet at tau: the tau of an even grid inside the range of x with the least squared error, the first
-    of equals, with both slopes. Null slopes for fewer than four points."""
+    """Two lines that meet at tau: of an even grid inside the range of x (a millionth off its ends) the tau with the least
+    squared error, the first of equals, with the intercept and both slopes.
+
+    All taus are fitted at once: for each, the cross products of the columns 1, min(x, tau), max(x - tau, 0) and y give a
+    system of three equations, which a pseudo-inverse solves also where a segment has too few points."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    if len(x) < 4 or np.ptp(x) == 0:
-        return {"tau": float("nan"), "left": float("nan"), "right": float("nan"), "sse": float("nan")}
-    best = None
-    for tau in np.linspace(x.min(), x.max(), grid + 2)[1:-1]:
-        a = np.stack([np.ones_like(x), np.minimum(x, tau), np.maximum(x - tau, 0)], 1)
-        w, *_ = np.linalg.lstsq(a, y, rcond=None)
-        sse = float(((a @ w - y) ** 2).sum())
-        if best is None or sse < best["sse"] - 1e-12:
-            best = {"tau": float(tau), "left": float(w[1]), "right": float(w[2]), "sse": sse}
-    return best
+    taus = np.linspace(x.min() + 1e-6, x.max() - 1e-6, grid)
+    columns = np.stack([np.ones((grid, len(x))), np.minimum(x, taus[:, None]), np.maximum(x - taus[:, None], 0)], 2)
+    weights = (np.linalg.pinv(columns) @ y[:, None])[:, :, 0]
+    errors = ((np.einsum("gnk,gk->gn", columns, weights) - y) ** 2).sum(1)
+    best = int(np.argmin(errors))
+    return {"tau": float(taus[best]), "intercept": float(weights[best, 0]), "left": float(weights[best, 1]), "right": float(weights[best, 2]), "sse": float(errors[best])}
 
 
 def matrix(df: DataFrame, key: str, arm: str, value: str) -> tuple[np.ndarray, list]:
@@ -50,13 +49,13 @@ def replicated(spark: SparkSession, replicates: int, rule, schema: str, seed: in
 
 
 def bootstrap_changepoint(spark, recall: np.ndarray, accuracy: np.ndarray, replicates: int = 200, seed: int = 42, grid: int = 50) -> DataFrame:
-    """(rep, tau, left, right, sse): both matrices question x arm, questions drawn once for both."""
+    """(rep, tau, intercept, left, right, sse): both matrices question x arm, questions drawn once for both."""
 
     def rule(rng) -> dict[str, float]:
         idx = rng.integers(0, len(recall), len(recall))
         return changepoint(recall[idx].mean(0), accuracy[idx].mean(0), grid)
 
-    return replicated(spark, replicates, rule, "tau double, left double, right double, sse double", seed)
+    return replicated(spark, replicates, rule, "tau double, intercept double, left double, right double, sse double", seed)
 
 
 def knee_of(recalls: np.ndarray, classes: list[str]) -> float | None:

@@ -16,7 +16,7 @@ def portable(label: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("bigint") % n
 
 
-def draws(spark, n: int, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+def draws(spark, n: int, replicates: int = REPLICATES, seed: int | str = SEED) -> DataFrame:
     """(rep, idx, weight): how often each of n rows is drawn in each replicate, for n rows of an aggregated sample."""
     grid = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("slot"))
     idx = portable(F.concat_ws(":", F.lit(str(seed)), "rep", "slot"), F.lit(max(n, 1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,12 @@ def norm_text(spark, d):
 
 
 def answers_present(spark, d):
-    """How many turns of each conversation name the benchmark-free answer 'yes' or 'no' as part of the whole text."""
-    golds = F.array(F.lit("the"), F.lit("and"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.when(X.answer_present(golds, F.array(F.lower("text"))), 1)).alias("n"))
+    """Turns of each conversation that have one of two golds, as part of their text, and as a word of it."""
+    golds = F.array(X.norm_text(F.lit("The")), X.norm_text(F.lit("ên")))
+    own = table(spark, d, "conversations").select("conv_id", X.norm_text("text").alias("norm"), golds.alias("golds"))
+    texts, subset = F.array("norm"), F.when(F.col("conv_id") % 2 == 0, "main").otherwise("sanity")
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return own.groupBy("conv_id").agg(count(X.answer_present(F.col("golds"), texts), "n"), count(X.answer_present_words(F.col("golds"), texts), "n_words"), count(X.in_primary(F.col("golds"), texts, subset), "n_primary"))
 
 
 def chunks(spark, d):
@@ -131,6 +136,12 @@ def billed_costs(spark, d):
 
 QUERIES = {f.__name__: f for f in (normalised_answers, turn_f1, norm_text, answers_present, chunks, chunk_counts, chunk_rows, first_sentences, token_frequencies, rare_tokens, reference_edges, reference_chains, chain_heads, page_paths, cost_grid, billed_costs)}
 
+#: Letters with a mark as the letter and a blank, which is what NFKD and the fold make of them; other characters as a blank.
+_MARKED = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xE0, 0x100) if len(unicodedata.normalize("NFKD", chr(c))) == 2}
+_NFKD = "lower({0})"
+for _letter, _plain in _MARKED.items():
+    _NFKD = f"replace({_NFKD}, '{_letter}', '{_plain} ')"
+_NFKD = f"regexp_replace({_NFKD}, '[^a-z0-9 ]', ' ', 'g')"
 #: Articles go word by word here: DuckDB's \b knows ASCII letters only.
 _NORM = r"array_to_string(list_filter(string_split_regex(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 _CUT = f"c AS (SELECT doc_id, unnest(range(0, CASE WHEN length(text) <= {SIZE} THEN 1 ELSE ceil((length(text) - {OVERLAP}) / {SIZE - OVERLAP}.0)::BIGINT END))::INT AS chunk, text, source FROM documents WHERE text IS NOT NULL)"
@@ -140,14 +151,19 @@ _PATHS = """g AS (SELECT [number] AS path FROM p UNION ALL SELECT list_append(pa
 m AS (SELECT path FROM g WHERE len(path) = 6 OR NOT EXISTS (SELECT 1 FROM e WHERE e.src = g.path[-1] AND NOT list_contains(g.path, e.dst)))"""
 
 SQL = {
-    "normalised_answers": rf"SELECT conv_id, turn, md5({_NORM.format('text')}) AS answer, rtrim(regexp_replace(translate(lower(trim(text)), '’', ''''), '[.!]+$', '')) IN ('i don''t know', 'i do not know', 'idk') AS declines FROM conversations",
+    "normalised_answers": rf"SELECT conv_id, turn, md5({_NORM.format('text')}) AS answer, lower(trim(regexp_replace(translate(trim(text), '’', ''''), '[.!]+$', ''))) = 'i don''t know' AS declines FROM conversations",
     "turn_f1": f"""WITH l AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations),
 t AS (SELECT conv_id, turn, {_NORM.format('text')} AS x, {_NORM.format('gold')} AS y FROM l WHERE gold IS NOT NULL),
 w AS (SELECT *, list_filter(string_split(x, ' '), lambda w: w != '') AS a, list_filter(string_split(y, ' '), lambda w: w != '') AS b FROM t)
 SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN (len(a) = len(b))::INT ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(list_intersect(a, b)), lambda w: least(len(list_filter(a, lambda z: z = w)), len(list_filter(b, lambda z: z = w))))), 0) / (len(a) + len(b)) END, 9) AS f1, (x = y)::INT AS em FROM w""",
-    "answers_present": "SELECT conv_id, count(*) FILTER (contains(lower(text), 'the') OR contains(lower(text), 'and')) AS n FROM conversations GROUP BY conv_id",
+    "answers_present": f"WITH n AS (SELECT conv_id, {_NFKD.format('text')} AS t FROM conversations), w AS (SELECT conv_id, contains(t, 'the') OR contains(t, 'e n') AS a, contains(' ' || t || ' ', ' the ') OR contains(' ' || t || ' ', ' e n ') AS b FROM n) SELECT conv_id, count(*) FILTER (a) AS n, count(*) FILTER (b) AS n_words, count(*) FILTER (b AND conv_id % 2 = 0) AS n_primary FROM w GROUP BY conv_id",
+    "norm_text": f"SELECT item_id, {_NFKD.format('text')} AS norm FROM benchmark",
+    "page_paths": r"""WITH p AS (SELECT page_id, regexp_replace(replace(regexp_replace(trim(regexp_replace(url, '^[a-z]+://[^/]*', '')), '^["''`]+|["''`]+$', '', 'g'), chr(92), '/'), '^(\./|/)+', '') AS path FROM pages)
+SELECT page_id, path, lower(regexp_extract(string_split(path, '/')[-1], '[^.].*\.([^.]+)$', 1)) IN ('py', 'md', 'txt', 'rst', 'toml', 'yaml', 'yml', 'json', 'cfg', 'ini', 'html', 'css', 'js', 'ts', 'sh', 'sql') AS is_text FROM p""",
     "chunks": f"WITH {_CUT} SELECT doc_id, chunk, md5(substr(text, chunk * {SIZE - OVERLAP} + 1, {SIZE})) AS digest, length(substr(text, chunk * {SIZE - OVERLAP} + 1, {SIZE}))::INT AS n_chars FROM c",
-    "chunk_counts": f"WITH {_CUT} SELECT source, count(*) AS predicted, count(*) AS made FROM c GROUP BY source",
+    "chunk_counts": f"""WITH RECURSIVE s AS (SELECT doc_id, source, length(text) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, source, n, 0 AS p FROM s UNION ALL SELECT doc_id, source, n, p + {SIZE - OVERLAP} FROM w WHERE p + {SIZE} < n), m AS (SELECT source, count(*) AS made FROM w GROUP BY source),
+o AS (SELECT source, sum(CASE WHEN n <= {SIZE} THEN 1 ELSE ceil((n - {OVERLAP}) / {SIZE - OVERLAP}.0) END)::BIGINT AS predicted FROM s GROUP BY source) SELECT source, predicted, made FROM o JOIN m USING (source)""",
     "chunk_rows": f"WITH {_CUT} SELECT doc_id, chunk, row_number() OVER (ORDER BY doc_id, chunk) - 1 AS row_id FROM c",
     "token_frequencies": f"WITH {_TOKENS} SELECT token, count(*) AS df FROM (SELECT unnest(tokens) AS token FROM k) GROUP BY token",
     "rare_tokens": f"WITH {_TOKENS}, f AS (SELECT token, count(*) AS df FROM (SELECT unnest(tokens) AS token FROM k) GROUP BY token), u AS (SELECT conv_id, turn, unnest(tokens) AS token FROM k), h AS (SELECT conv_id, turn, max(ln((SELECT count(*) FROM k) / (1.0 + df))) AS handle FROM u JOIN f USING (token) GROUP BY ALL) SELECT k.conv_id, k.turn, round(coalesce(handle, 0), 9)::DOUBLE AS handle FROM k LEFT JOIN h USING (conv_id, turn)",

@@ -224,6 +224,6 @@ SELECT arm, target, sweep_value, recall, qps, met FROM (SELECT *, row_number() O
     "size_prefix": f"WITH {_TURNS}, u AS (SELECT conv_id, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM t) SELECT conv_id, count(*) FILTER (upto <= 100) AS n, coalesce(max(upto) FILTER (upto <= 100), 0)::BIGINT AS total FROM u GROUP BY conv_id",
     "first_event": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1",
     "last_event": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
-    "pivot_means": f"WITH {_RUNS} PIVOT (SELECT qid, arm, value FROM r) ON arm USING first(value) GROUP BY qid",
+    "pivot_means": f"WITH {_RUNS} SELECT qid, " + ", ".join(f"max(value) FILTER (arm = '{a}') AS \"{a}\"" for a in ("click", "error", "purchase", "signup", "view")) + " FROM r GROUP BY qid",
     "totals": "SELECT event_type AS arm, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY CUBE (event_type, strftime(ts, '%Y-%m-%d'))",
 }

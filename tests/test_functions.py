@@ -34,7 +34,8 @@ def test_text(spark):
     assert one(spark, X.references(F.col("t")), t="#5 then #5 then #2 `#8` ```\n#9") == [5, 2]
     assert one(spark, X.f1(F.col("p"), F.col("g")), p="a cat sat", g=["the cat", "dog"]) == pytest.approx(2 / 3)
     assert one(spark, X.exact_match(F.col("p"), F.col("g")), p="The Cat.", g=["dog", "cat"]) == 1
-    assert one(spark, X.is_decline(F.col("p")), p="I don’t know.") is True
+    assert one(spark, X.is_decline(F.col("p")), p="I don’t know.") is True and one(spark, X.is_decline(F.col("p")), p="\n I DON'T KNOW!. ") is True
+    assert not any(one(spark, X.is_decline(F.col("p")), p=x) for x in ("idk", "I do not know", "I don't know why", ""))
     assert one(spark, X.is_decline_prefix(F.col("p")), p="I don't know\nbut maybe") is True
     assert one(spark, X.parse_golds(F.col("g")), g='["a", "b"]') == ["a", "b"] and one(spark, X.parse_golds(F.col("g")), g="plain") == ["plain"]
     assert one(spark, X.split_field(F.col("g")), g=" a ; ;b") == ["a", "b"]
@@ -61,7 +62,16 @@ def test_cost(spark):
 def test_decisions(spark):
     assert [one(spark, D.classify_delta(F.lit(a), F.lit(b))) for a, b in ((0.01, 0.02), (-0.01, 0.04), (-0.1, 0.06))] == ["DROP", "PLATEAU", "INCONCLUSIVE"]
     assert one(spark, D.is_matched(F.lit(0.93), F.lit(0.90))) and not one(spark, D.is_matched(F.lit(0.94), F.lit(0.90)))
-    assert one(spark, D.knee_width_branch(F.lit(0.5), F.lit(0.52), F.lit(0.1), F.lit(0.9))) == "N1"
+    knee = lambda low, high, a, b: one(spark, D.knee_width_branch(*map(F.lit, (low, high, 0.1, 0.9, a, b))))
+    assert [knee(0.5, 0.52, 0.1, 0.2), knee(0.5, 0.7, 0.1, 0.2), knee(0.102, 0.12, 0.1, 0.2), knee(0.5, 0.52, -0.1, 0.2)] == ["N1", "N2", "N2", "N3"]
+    assert [one(spark, D.parametric_reading(F.lit(a))) for a in (0.1, 0.3, 0.31)] == ["holds", "partial_leak", "does_not_ground"]
+    assert [one(spark, D.resolve_branch(F.lit(x), F.lit(m), "p", "n", "0")) for x, m in ((True, 1.0), (True, -1.0), (True, 0.0), (False, 1.0))] == ["p", "n", "n", "0"]
+    assert [one(spark, D.hop_branch(F.lit(a), F.lit(b), F.lit(h))) for a, b, h in ((0.1, 0.2, True), (-0.1, 0.2, False), (-0.2, -0.1, False), (0.1, 0.2, False))] == ["H4-confounded", "H2", "H1", "H3"]
+    assert [one(spark, D.gate_verdict(F.lit(a))) for a in (0.05, 0.1, 0.11)] == ["pass", "investigate", "fail"]
+    label = lambda a, b: tuple(one(spark, D.adjudicate(F.lit(a), F.lit(b))))
+    assert label("eligible", "ambiguous") == ("eligible", "eligible") and label("ambiguous", "ambiguous") == ("ineligible", "ambiguous") and label("ambiguous", "stale_gold") == ("ineligible", D.DISPUTED)
+    with pytest.raises(Exception, match="unknown label"):
+        label("eligible", "other")
     assert one(spark, D.decline_gate(F.lit(0), F.lit(0))) is False
 
 
@@ -160,17 +170,35 @@ def test_titles(spark):
     assert B.title_words("Élan  vital!") == "e lan vital" or B.title_words("Élan  vital!") == "elan vital"
     assert B.nested("new york", "new york city") and not B.nested("york", "newyork")
     assert B.bridges_of("He saw the Eiffel Tower near New York City.", "Paris", {"eiffel tower", "new york city"}) == ["eiffel tower", "new york city"]
-    assert B.redact_verbatim("abc This is a long verbatim stretch xyz", "zz THIS IS A LONG VERBATIM STRETCH zz") == "abc" + B.PLACEHOLDER + "xyz"
+    long, loud = "abc This is a long verbatim stretch xyz", "zz THIS IS A LONG VERBATIM STRETCH zz"
+    assert B.redact_verbatim(long, loud, fold=True) == "abc" + B.PLACEHOLDER + "xyz" and B.redact_verbatim(long, loud) == long
+    assert B.redact_verbatim(long, "is a long verbatim stretch") == "abc This " + B.PLACEHOLDER + " xyz"
     assert B.redact_verbatim(None, "x") is None and B.redact_verbatim("short", "short") == "short"
 
 
+def test_longest_common_by_brute_force():
+    import random
+
+    from plumbline.functions import titles as B
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab" if rng.random() < 0.5 else "abc") for _ in range(rng.randrange(0, 25))) for _ in range(2))
+        least = rng.randrange(1, 4)
+        common = [(i, n) for i in range(len(a)) for n in range(least, len(a) - i + 1) if a[i : i + n] in b]
+        size = max((n for _, n in common), default=0)
+        got = B.longest_common(a, b, least)
+        assert got[1] == size and (not size or a[got[0] : got[0] + size] in b)
+
+
 def test_fits(spark):
     from plumbline.operators import fits as P
 
     x = np.linspace(0, 1, 12)
     y = np.minimum(x, 0.5)
     got = P.changepoint(x, y)
-    assert abs(got["tau"] - 0.5) < 0.01 and abs(got["left"] - 1) < 0.02 and abs(got["right"]) < 0.02
+    assert abs(got["tau"] - 0.5) < 0.01 and abs(got["left"] - 1) < 0.02 and abs(got["right"]) < 0.02 and abs(got["intercept"]) < 0.02
+    assert any(abs(got["tau"] - t) < 1e-12 for t in np.linspace(1e-6, 1 - 1e-6, P.GRID))
     assert P.knee_of(np.array([0.9, 0.8, 0.95]), ["PLATEAU", "DROP", "PLATEAU"]) == 0.9 and P.knee_of(np.array([0.9]), ["DROP"]) is None
     rng = np.random.default_rng(1)
     r, q = rng.random((30, 5)), rng.random((30, 5))
@@ -204,11 +232,11 @@ def test_gates_and_threads(spark):
     arr = lambda *xs: F.array(*map(F.lit, xs))
     none = F.array().cast("array<string>")
     assert one(spark, Y.apply_verdict(F.lit("augment"), arr("a"), arr("a", "b"))) == ["a", "b"]
-    assert one(spark, Y.apply_verdict(F.lit("replace"), arr("a"), arr("b"))) == ["b"] and one(spark, Y.changed(F.lit("keep"), arr("a"), arr("b"))) == "kept"
+    assert one(spark, Y.apply_verdict(F.lit("replace"), arr("a"), arr("b"))) == ["b"] and one(spark, Y.changed(F.lit("keep"), arr("a"), arr("b"))) == "unchanged"
     with pytest.raises(Exception, match="replace without golds"):
         one(spark, Y.apply_verdict(F.lit("replace"), arr("a"), none))
     assert one(spark, Y.membership(arr("a", "b"), arr("b", "c"))) == "partial" and one(spark, Y.membership(arr("a"), arr("a"))) == "all"
-    assert one(spark, Y.uphold_gate(F.lit(5), F.lit(5), 0.5)) is None and one(spark, Y.concordance_gate(F.lit(0), F.lit(0), 0.9))
+    assert [one(spark, Y.uphold_gate(F.lit(n), F.lit(k))) for n, k in ((5, 5), (10, 9), (10, 10))] == [True, True, False] and one(spark, Y.concordance_gate(F.lit(0), F.lit(0), 0.9))
     assert one(spark, Y.descending_scores(arr(0.9, 0.5, 0.5), 3)) and not one(spark, Y.descending_scores(arr(0.5, 0.9), 2))
     assert one(spark, Y.forbidden_terms([F.lit("a Foo.bar b")], ["Foo", "foo", "bar"])) == ["Foo", "bar"]
     assert [one(spark, Y.knee_branch(F.lit(r), F.lit(p))) for r, p in ((0.9, True), (0.99, True), (0.9, False))] == ["K1", "K3", "K2"]
