@@ -1,8 +1,10 @@
 """Exact and approximate vector search by inner product, quantisation and dimensionality reduction.
 
-Queries are a stated set that is taken in blocks of bounded size: a block travels to the executors, every partition of
-the corpus scores it with one matrix product a batch and keeps its best k, and a window over those few candidates ends
-it. No pairs are emitted, and no more than a block of queries is ever on the driver or broadcast.
+Vectors travel as matrices: a pack is one row that holds up to ``PACK`` ids and their matrix, and so are queries, up to
+``BLOCK`` in one. A search joins packs with blocks of queries (all of them for an exact search, those of the same cell for
+an inverted index), scores each pair with one matrix product and keeps its best k; a window over those candidates ends it.
+The plan is the same for any number of queries, nothing of them is on the driver, and no pair of rows is emitted but the
+best of each pack.
 """
 
 from __future__ import annotations
@@ -12,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block; with the dimension it bounds what is broadcast.
-BLOCK = 4096
+#: Rows in a pack and queries in a block; with the dimension they bound what a task holds.
+PACK, BLOCK = 8192, 1024
 #: Rows that centroids, codebooks and rotations are fitted on at most.
 FIT_ROWS = 50_000
 SEED = 42
@@ -43,19 +46,6 @@ def truncate(v: Column, d: int) -> Column:
     return renormalise(checked)
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries (qid, vector) in blocks of bounded size, read partition by partition."""
-    ids, rows = [], []
-    for r in queries.where("qid is not null and vector is not null").select("qid", "vector").toLocalIterator():
-        ids.append(r["qid"])
-        rows.append(r["vector"])
-        if len(ids) == block:
-            yield np.array(ids), stack(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), stack(rows)
-
-
 def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best columns of each row of scores; ties go to the least id. As a boolean matrix."""
     if scores.shape[1] <= k:
@@ -64,36 +54,92 @@ def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return scores >= edge[:, None]
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, score: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None = None, columns: tuple[str, ...] = ("vector",), digits: int = 6, block: int = BLOCK) -> DataFrame:
-    """(qid, rank, id, score): the k best rows of corpus (id and others) for each of queries (qid, vector).
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """A list column without nulls as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(column), -1)
 
-    Scores are rounded to ``digits`` before they are ordered, and ties go to the least id, so that results do not depend
-    on the order of additions. score(batch, qids, query matrix) gives a matrix query x row, -inf where a row is no
-    candidate; the default is the exact inner product. Null ids and vectors are left out; fewer rows than k give fewer.
-    """
-    exact = lambda pdf, qids, q: q @ stack(pdf["vector"]).T
-    scorer = score or exact
-    kind = corpus.schema["id"].dataType.simpleString()
-    source = corpus.select("id", *columns).where(" and ".join(f"{c} is not null" for c in ("id", *columns)))
-    found = None
-    for qids, q in query_blocks(queries, block):
-
-        def run(batches: Iterator[pd.DataFrame], qids=qids, q=q) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    s = np.round(scorer(pdf, qids, q), digits)
-                    i, j = np.nonzero(best_rows(pdf["id"].to_numpy(), s, k) & np.isfinite(s))
-                    yield pd.DataFrame({"qid": qids[i], "id": pdf["id"].to_numpy()[j], "score": s[i, j]})
-
-        part = source.mapInPandas(run, f"qid bigint, id {kind}, score double")
-        # A batch keeps ties at its edge; two rounds leave k a query and partition before the rows move.
-        found = part if found is None else found.union(part)
-    if found is None:
-        return source.sparkSession.createDataFrame([], f"qid bigint, rank int, id {kind}, score double")
+
+def packed(df: DataFrame, rows: int, by: str | None = None) -> DataFrame:
+    """One row (by, ids, data) for up to ``rows`` rows of df (id, data: binary, and by): ids as an array, data joined. Rows of one
+    value of ``by`` are brought together first, large values in several partitions."""
+    kind = df.schema["id"].dataType.simpleString()
+    names = ([by] if by else []) + ["ids", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, now = 0, None
+
+        def flush() -> pa.RecordBatch:
+            ids = pa.concat_arrays([b.column("id") for b in held])
+            data = b"".join(x.as_py() for b in held for x in b.column("data"))
+            out = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([data], pa.large_binary()).cast(pa.binary())]
+            return pa.RecordBatch.from_arrays([*([pa.array([now], held[0].column(by).type)] if by else []), *out], names)
+
+        for batch in batches:
+            values = batch.column(by).to_numpy(zero_copy_only=False) if by else np.zeros(batch.num_rows, "i4")
+            at = 0
+            while at < batch.num_rows:
+                if n and (values[at] != now or n == rows):
+                    yield flush()
+                    held, n = [], 0
+                now = values[at]
+                other = np.flatnonzero(values[at:] != now)
+                size = min(rows - n, int(other[0]) if len(other) else batch.num_rows - at)
+                held.append(batch.slice(at, size))
+                n, at = n + size, at + size
+        if n:
+            yield flush()
+
+    own = df.select(*([by] if by else []), "id", "data")
+    own = own.hint("rebalance", by).sortWithinPartitions(by) if by else own
+    field = f"`{by}` {own.schema[by].dataType.simpleString()}, " if by else ""
+    return own.mapInArrow(run, f"{field}ids array<{kind}>, data binary")
+
+
+def as_bytes(df: DataFrame, column: str = "vector") -> DataFrame:
+    """(id, data) of df (id, column): each vector as its doubles."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in matrix_of(batch.column(column))], pa.binary())], ["id", "data"])
+
+    return df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column).mapInArrow(run, f"id {kind}, data binary")
+
+
+def best_of_pairs(pairs: DataFrame, k: int, digits: int, kind: str, score: Callable[[bytes, int, np.ndarray, object], np.ndarray], by: str | None = None) -> DataFrame:
+    """(qid, rank, id, score) from pairs (ids, data, qids, queries, and by) of packs and blocks; score(data, rows, query matrix,
+    by) gives a matrix query x row. Scores are rounded before they are ordered, and ties go to the least id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, qids = (batch.column(c)[i].values for c in ("ids", "qids"))
+                q = np.frombuffer(batch.column("queries")[i].as_py(), "f8").reshape(len(qids), -1)
+                s = np.round(score(batch.column("data")[i].as_py(), len(ids), q, batch.column(by)[i].as_py() if by else None), digits)
+                # A pair keeps ties at its edge; the window takes the least ids of them.
+                one, two = np.nonzero(best_rows(ids, s, k) & np.isfinite(s))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(s[one, two])], ["qid", "id", "score"])
+
+    found = pairs.select(*([by] if by else []), "ids", "data", "qids", "queries").mapInArrow(run, f"qid bigint, id {kind}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
 
 
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6, pack: int = PACK, block: int = BLOCK) -> DataFrame:
+    """(qid, rank, id, score): the k best rows of corpus (id, vector) for each of queries (qid, vector), by exact inner product.
+
+    Scores are rounded to ``digits`` before they are ordered, and ties go to the least id, so that results do not depend
+    on the order of additions. Null ids and vectors are left out; fewer rows than k give fewer. A stated set of queries
+    meets all rows, so the work is the product of both; packs and blocks are what is paired.
+    """
+    rows = packed(as_bytes(corpus), pack)
+    asked = packed(as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")), block).toDF("qids", "queries")
+    exact = lambda data, n, q, _: q @ np.frombuffer(data, "f8").reshape(n, -1).T
+    return best_of_pairs(rows.crossJoin(asked), k, digits, corpus.schema["id"].dataType.simpleString(), exact)
+
+
 def recall_at_k(pred: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row with the mean share of the k true ids among the first k predicted (both qid, rank, id); 0 without queries."""
     t = truth.where(F.col("rank") <= k).select("qid", "id")
@@ -218,47 +264,61 @@ def kmeans(x: np.ndarray, n: int, rounds: int = 12, seed: int = SEED) -> np.ndar
 
 @dataclass
 class Index:
-    """Inverted lists, and how vectors in them are coded: exact, pq (m codebooks of 256) or sign (rotated sign bits)."""
+    """Inverted lists, and how vectors in them are coded: exact (floats), pq (m codebooks of up to 256, a byte each) or sign
+    (rotated sign bits, and two floats)."""
 
     centroids: np.ndarray
     coding: str = "exact"
-    books: np.ndarray | None = None  # m x 256 x part
+    books: np.ndarray | None = None  # m x up to 256 x part
     rotation: np.ndarray | None = None
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1)).argmax(1)
 
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    def near(self, q: np.ndarray, nprobe: int) -> np.ndarray:
+        """The nprobe cells whose centroids have the largest inner products with each query."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :nprobe]
+
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> list[bytes]:
         if self.coding == "exact":
-            return x
+            return [r.tobytes() for r in x.astype("f4")]
         rest = x - self.centroids[cell]
         if self.coding == "pq":
             parts = rest.reshape(len(x), len(self.books), -1)
-            return np.stack([(parts[:, j] @ b.T - 0.5 * (b * b).sum(1)).argmax(1) for j, b in enumerate(self.books)], 1).astype("f8")
+            codes = np.stack([(parts[:, j] @ b.T - 0.5 * (b * b).sum(1)).argmax(1) for j, b in enumerate(self.books)], 1)
+            return [r.tobytes() for r in codes.astype("u1")]
         turned = rest @ self.rotation.T
         norm = np.linalg.norm(rest, axis=1)
         # Length of the residual, and its inner product with its own sign vector, make the estimate unbiased.
         along = np.abs(turned).sum(1) / np.sqrt(x.shape[1]) / np.maximum(norm, 1e-300)
-        return np.concatenate([(turned > 0).astype("f8"), norm[:, None], along[:, None]], 1)
+        bits, factors = np.packbits(turned > 0, axis=1), np.stack([norm, along], 1).astype("f4")
+        return [b.tobytes() + f.tobytes() for b, f in zip(bits, factors, strict=True)]
 
-    def score(self, codes: np.ndarray, cell: int, q: np.ndarray) -> np.ndarray:
-        """Estimated inner products, query x row, for rows of one cell."""
+    def score(self, data: bytes, n: int, q: np.ndarray, cell: int) -> np.ndarray:
+        """Estimated inner products, query x row, for n coded rows of one cell."""
+        d = q.shape[1]
         if self.coding == "exact":
-            return q @ codes.T
+            return q @ np.frombuffer(data, "f4").reshape(n, d).astype("f8").T
         base = (q @ self.centroids[cell])[:, None]
+        codes = np.frombuffer(data, "u1").reshape(n, -1)
         if self.coding == "pq":
-            m, part = len(self.books), q.shape[1] // len(self.books)
-            tables = np.einsum("qmp,mkp->mqk", q.reshape(len(q), m, part), self.books)
-            return base + sum(tables[j][:, codes[:, j].astype(int)] for j in range(m))
-        d = q.shape[1]
-        signs = (2 * codes[:, :d] - 1) / np.sqrt(d)
-        return base + (q @ self.rotation.T) @ signs.T * (codes[:, d] / np.maximum(codes[:, d + 1], 1e-9))
+            m = len(self.books)
+            tables = np.einsum("qmp,mkp->mqk", q.reshape(len(q), m, d // m), self.books)
+            return base + sum(tables[j][:, codes[:, j]] for j in range(m))
+        signs = (2.0 * np.unpackbits(codes[:, :-8], axis=1, count=d) - 1) / np.sqrt(d)
+        factors = np.ascontiguousarray(codes[:, -8:]).view("f4").astype("f8")
+        return base + (q @ self.rotation.T) @ signs.T * (factors[:, 0] / np.maximum(factors[:, 1], 1e-9))
 
 
-def build_index(df: DataFrame, nlist: int, coding: str = "exact", m: int = 8, column: str = "vector") -> tuple[Index, DataFrame]:
-    """An index fitted on a sample of at most about FIT_ROWS rows, and all rows of df as (id, cell, codes)."""
+def lists_for(n: int) -> int:
+    """Cells of an index of n rows: the root of n, so that a probe reads about as much as there are centroids to compare."""
+    return max(1, round(n**0.5))
+
+
+def build_index(df: DataFrame, nlist: int | None = None, coding: str = "exact", m: int = 8, column: str = "vector") -> tuple[Index, DataFrame]:
+    """An index fitted on a sample of at most about FIT_ROWS rows, and all rows of df as (id, cell, data)."""
     x = sample(df, column=column)
-    index = Index(kmeans(x, nlist), coding)
+    index = Index(kmeans(x, nlist or lists_for(df.count())), coding)
     rest = x - index.centroids[index.cells(x)]
     if coding == "pq":
         parts = rest.reshape(len(x), m, -1)
@@ -272,31 +332,31 @@ def build_index(df: DataFrame, nlist: int, coding: str = "exact", m: int = 8, co
         index.rotation = np.linalg.qr(np.random.default_rng(SEED).normal(size=(x.shape[1],) * 2))[0]
     kind = df.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                v = stack(pdf[column])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix_of(batch.column(column))
                 cell = index.cells(v)
-                yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype("i4"), "codes": list(index.encode(v, cell))})
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell.astype("i4")), pa.array(index.encode(v, cell), pa.binary())], ["id", "cell", "data"])
 
-    return index, df.where(F.col(column).isNotNull()).select("id", column).mapInPandas(run, f"id {kind}, cell int, codes array<double>")
+    return index, df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column).mapInArrow(run, f"id {kind}, cell int, data binary")
 
 
-def search_index(index: Index, rows: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """(qid, rank, id, score) from the nprobe cells whose centroids are nearest to each query."""
+def search_index(index: Index, rows: DataFrame, queries: DataFrame, k: int, nprobe: int, digits: int = 6) -> DataFrame:
+    """(qid, rank, id, score) from the nprobe cells whose centroids are nearest to each query. Packs of a cell meet the blocks
+    of queries that probe it, and no others: cells that nobody probes are not read beyond the join."""
 
-    def score(pdf: pd.DataFrame, qids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :nprobe]
-        out = np.full((len(q), len(pdf)), -np.inf)
-        codes, cell = stack(pdf["codes"]), pdf["cell"].to_numpy()
-        for c in np.unique(cell):
-            asked = np.flatnonzero((near == c).any(1))
-            if len(asked):
-                own = np.flatnonzero(cell == c)
-                out[np.ix_(asked, own)] = index.score(codes[own], c, q[asked])
-        return out
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q = np.stack([np.frombuffer(x.as_py(), "f8") for x in batch.column("data")])
+                near = index.near(q, nprobe)
+                at = pa.array(np.repeat(np.arange(len(q)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype("i4")), batch.column("id").take(at), batch.column("data").take(at)], ["cell", "id", "data"])
 
-    return top_k(rows, queries, k, score, ("cell", "codes"))
+    asked = as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")).mapInArrow(probe, "cell int, id bigint, data binary")
+    blocks = packed(asked, BLOCK, "cell").toDF("cell", "qids", "queries")
+    return best_of_pairs(packed(rows, PACK, "cell").join(blocks, "cell"), k, digits, rows.schema["id"].dataType.simpleString(), index.score, "cell")
 
 
 def refine(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -308,5 +368,10 @@ def refine(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int)
 
 
 def payload_bytes(coding: str, dim: int, m: int = 8) -> int:
-    """Nominal bytes of a coded vector."""
-    return {"exact": 4 * dim, "sq8": dim, "pq": m, "sign": dim // 8}[coding]
+    """Bytes of a coded vector as they are stored: floats, a byte a dimension, a byte a codebook, or sign bits and two floats."""
+    return {"exact": 4 * dim, "sq8": dim, "pq": m, "sign": -(-dim // 8) + 8}[coding]
+
+
+def stored_bytes(rows: DataFrame) -> DataFrame:
+    """(bytes, n): the sizes of coded vectors (data) and how many have each."""
+    return rows.groupBy(F.length("data").alias("bytes")).agg(F.count("*").alias("n"))

@@ -69,35 +69,37 @@ def explained_variance(spark, d):
     return spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(share)], "dims int, explained double")
 
 
-def _index(spark, d, coding: str, wide: int, nprobe: int):
+def _index(spark, d, coding: str, wide: int):
+    """The corpus and what an index with a root of n cells finds; two thirds of the cells are probed, as these vectors have
+    hardly any clusters."""
     rows = corpus(spark, d).select("id", "vector")
-    index, coded = V.build_index(rows, 16, coding)
+    index, coded = V.build_index(rows, coding=coding)
     coded = cut(coded, f"index-{coding}")
-    found = V.search_index(index, coded, queries(rows), wide, nprobe)
+    found = V.search_index(index, coded, queries(rows), wide, -(-len(index.centroids) * 2 // 3))
     if coding != "exact":
         found = V.refine(found, rows, queries(rows), K)
     return rows, found
 
 
-def _recall(spark, d, coding, wide, nprobe):
-    rows, found = _index(spark, d, coding, wide, nprobe)
+def _recall(spark, d, coding, wide):
+    rows, found = _index(spark, d, coding, wide)
     return V.recall_at_k(found, V.top_k(rows, queries(rows), K), K).withColumn("enough", F.col("recall") >= 0.9)
 
 
 def ivf_topk(spark, d):
-    return _index(spark, d, "exact", K, 8)[1]
+    return _index(spark, d, "exact", K)[1]
 
 
 def ivf_recall(spark, d):
-    return _recall(spark, d, "exact", K, 8)
+    return _recall(spark, d, "exact", K)
 
 
 def ivf_pq_recall(spark, d):
-    return _recall(spark, d, "pq", 10 * K, 8)
+    return _recall(spark, d, "pq", 10 * K)
 
 
 def ivf_sign_recall(spark, d):
-    return _recall(spark, d, "sign", 10 * K, 8)
+    return _recall(spark, d, "sign", 10 * K)
 
 
 def label_precision(spark, d):
@@ -117,13 +119,23 @@ def separable_lists(spark, d):
     return both.select("qid", V.separable(F.col("a"), F.col("b"), K).alias("separable"), F.round(V.recall_ids(F.col("b"), F.col("a"), K), 6).alias("recall"))
 
 
+def index_bytes(spark, d):
+    """Bytes of the coded vectors of each index, as they are stored."""
+    rows = corpus(spark, d).select("id", "vector")
+    out = None
+    for coding in ("exact", "pq", "sign"):
+        part = V.stored_bytes(V.build_index(rows, coding=coding)[1]).select(F.lit(coding).alias("coding"), "bytes", "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def payload(spark, d):
-    """Nominal bytes and compression of each coding for these dimensions."""
+    """Bytes and compression of each coding for these dimensions."""
     dim = corpus(spark, d).agg(F.max(F.size("vector"))).first()[0]
     return spark.createDataFrame([(c, V.payload_bytes(c, dim), 4 * dim / V.payload_bytes(c, dim)) for c in ("exact", "sq8", "pq", "sign")], "coding string, bytes int, compression double")
 
 
-QUERIES = {f.__name__: f for f in (exact_topk, exact_topk_renormalised, mrl_recall, sq8_topk, sq8_recall, sq8_bounds, pca_recall, explained_variance, ivf_topk, ivf_recall, ivf_pq_recall, ivf_sign_recall, label_precision, separable_lists, payload)}
+QUERIES = {f.__name__: f for f in (exact_topk, exact_topk_renormalised, mrl_recall, sq8_topk, sq8_recall, sq8_bounds, pca_recall, explained_variance, ivf_topk, ivf_recall, ivf_pq_recall, ivf_sign_recall, label_precision, separable_lists, payload, index_bytes)}
 
 _TOP = """
 SELECT qid, rank::INT AS rank, id, score FROM (
@@ -144,7 +156,11 @@ def _recall_sql(parts: str, pred: str) -> str:
     return f"WITH {_RAW}, {parts}, t AS ({_top('e', 'e')}), p AS ({pred}) SELECT round(avg(r), 6) AS recall FROM (SELECT t.qid, count(p.id) / count(*) AS r FROM t LEFT JOIN p ON t.qid = p.qid AND t.id = p.id GROUP BY t.qid)"
 
 
+_CODINGS = "d AS (SELECT max(len(embedding)) AS dim, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL), c AS (SELECT coding, (CASE coding WHEN 'exact' THEN 4 * dim WHEN 'sq8' THEN dim WHEN 'pq' THEN 8 ELSE ceil(dim / 8) + 8 END)::INT AS bytes, dim, n FROM d, (SELECT unnest(['exact', 'sq8', 'pq', 'sign']) AS coding))"
+
 SQL = {
+    "payload": f"WITH {_CODINGS} SELECT coding, bytes, (4 * dim / bytes)::DOUBLE AS compression FROM c",
+    "index_bytes": f"WITH {_CODINGS} SELECT coding, bytes, n FROM c WHERE coding != 'sq8'",
     "exact_topk": f"WITH {_RAW} {_top('e', 'e')}",
     "exact_topk_renormalised": f"WITH {_RAW}, {_SHORT} {_top('s', 's')}",
     "mrl_recall": _recall_sql(_SHORT, _top("s", "s")),

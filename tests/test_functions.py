@@ -248,3 +248,49 @@ def test_gates_and_threads(spark):
     assert one(spark, Z.visible(F.lit("src/x.py"), ("py",))) and not one(spark, Z.visible(F.lit(".git/x.py"), ("py",)))
     thread = F.struct(F.lit("T").alias("title"), F.lit("B ").alias("body"), F.array(F.struct(author.alias("user"), F.lit("hi\n ").alias("body"))).alias("comments"))
     assert one(spark, Z.document(thread)) == "# T\n\nB \n\n## CI-helper\n\nhi\n"
+
+
+def test_index_search_by_brute_force(spark):
+    """Each coding against plain numpy with the same centroids, codebooks and rotation, few probes, packs of a few rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 12)).astype("f4").astype("f8")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(4)
+    q = df.where("id % 23 = 0").select(F.col("id").alias("qid"), "vector")
+    for coding in ("exact", "pq", "sign"):
+        index, rows = V.build_index(df, 9, coding, m=4)
+        assert {r.id for r in rows.collect()} == set(range(400)) and [r.bytes for r in V.stored_bytes(rows).collect()] == [V.payload_bytes(coding, 12, 4)]
+        cell = index.cells(x)
+        rest = x - index.centroids[cell]
+        if coding == "exact":
+            near = x
+        elif coding == "pq":
+            near = index.centroids[cell].copy()
+            for j, b in enumerate(index.books):
+                part = rest[:, 3 * j : 3 * j + 3]
+                near[:, 3 * j : 3 * j + 3] += b[((part[:, None] - b[None]) ** 2).sum(2).argmin(1)]
+        else:
+            turned = rest @ index.rotation.T
+            norm = np.linalg.norm(rest, axis=1)
+            along = np.abs(turned).sum(1) / np.sqrt(12) / norm
+            near = index.centroids[cell] + (np.where(turned > 0, 1, -1) / np.sqrt(12) * (norm / along)[:, None]) @ index.rotation
+        got = {}
+        for r in V.search_index(index, rows, q, 6, 3).collect():
+            got.setdefault(r.qid, {})[r["rank"]] = (r.id, r.score)
+        for i in range(0, 400, 23):
+            probed = np.argsort(-(x[i] @ index.centroids.T), kind="stable")[:3]
+            own = [j for j in range(400) if cell[j] in probed]
+            want = sorted(((-float(x[i] @ near[j]), j) for j in own))[:6]
+            assert [got[i][k][0] for k in range(1, 7)] == [j for _, j in want] or np.allclose([got[i][k][1] for k in range(1, 7)], [-s for s, _ in want], atol=2e-5)
+            assert np.allclose([got[i][k][1] for k in range(1, 7)], [-s for s, _ in want], atol=2e-5)
+
+
+def test_packs_hold_every_row_once(spark):
+    rows = [(i, bytes([i % 7]) * 3, i % 5 if i % 3 else 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, data binary, cell int").repartition(6)
+    for size in (1, 7, 1000):
+        got = V.packed(df, size, "cell").collect()
+        assert sorted(i for r in got for i in r.ids) == list(range(200)) and max(len(r.ids) for r in got) <= size
+        for r in got:
+            assert all(rows[i][2] == r.cell for i in r.ids) and bytes(r.data) == b"".join(rows[i][1] for i in r.ids)
+    assert sum(len(r.ids) for r in V.packed(df.select("id", "data"), 50).collect()) == 200
+    assert V.packed(df.limit(0), 5, "cell").count() == 0
