@@ -6,8 +6,9 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 PLACEHOLDER = "[passage text redacted]"
 
@@ -121,12 +122,21 @@ def redact(text: pd.Series, passages: pd.Series) -> pd.Series:
     return pd.Series([redact_verbatim(a, b) for a, b in zip(text, passages, strict=True)], dtype=object)
 
 
-def bridges(titles: list[str]):
-    """A function of (text, page title) to the bridges among the given titles, a list of bounded size."""
-    lookup = frozenset(title_words(t) for t in titles if eligible(t))
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def find(text: pd.Series, page: pd.Series) -> pd.Series:
-        return pd.Series([bridges_of(a, b or "", lookup) for a, b in zip(text, page, strict=True)], dtype=object)
-
-    return find
+def bridges(passages: DataFrame, titles: DataFrame) -> DataFrame:
+    """(id, bridges) of passages (id, page, text): the titles (title) that each text mentions, in order of first appearance,
+    without the page's own and those nested in it; titles of two words and ten characters or more.
+
+    Texts are normalised once and joined with the titles by each two words that follow one another, so that neither side
+    travels whole; a candidate's other words are compared after the join. Passages without bridges are left out.
+    """
+    words = F.split("norm", " ")
+    named = titles.select(norm_title("title").alias("norm"), "title").where((F.size(F.split("title", r"\s+")) >= 2) & (F.length("norm") >= 10))
+    named = named.select("norm").distinct().where(F.size(words) >= 2).select("norm", F.concat_ws(" ", words[0], words[1]).alias("start"), F.size(words).alias("n"))
+    own = passages.select("id", norm_title("page").alias("page"), norm_title("text").alias("norm")).withColumn("words", words)
+    starts = F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
+    places = own.select("id", "page", "words", F.posexplode(starts).alias("at", "start"))
+    met = places.join(named, "start").where(F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ") == F.col("norm"))
+    inside = lambda a, b: F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
+    other = (F.col("page") != "") & ~inside(F.col("norm"), F.col("page")) & ~inside(F.col("page"), F.col("norm"))
+    first = met.where(other).groupBy("id", "norm").agg(F.min("at").alias("at"), F.min("n").alias("n"))
+    return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "norm"))), lambda x: x["norm"]).alias("bridges"))

@@ -28,9 +28,16 @@ def changepoint(x: np.ndarray, y: np.ndarray, grid: int = GRID) -> dict[str, flo
     return {"tau": float(taus[best]), "intercept": float(weights[best, 0]), "left": float(weights[best, 1]), "right": float(weights[best, 2]), "sse": float(errors[best])}
 
 
+#: Cells of an aggregated matrix that may come to the driver.
+MOST_CELLS = 10_000_000
+
+
 def matrix(df: DataFrame, key: str, arm: str, value: str) -> tuple[np.ndarray, list]:
-    """An aggregated table as a matrix key x arm; an error if a cell is missing or occurs twice."""
-    pdf = df.select(key, arm, value).toPandas()
+    """An aggregated table as a matrix key x arm; an error if a cell is missing or occurs twice, or if there are more than
+    MOST_CELLS."""
+    pdf = df.select(key, arm, value).limit(MOST_CELLS + 1).toPandas()
+    if len(pdf) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
     wide = pdf.pivot(index=key, columns=arm, values=value)
     if wide.isna().any().any():
         raise ValueError("a question lacks an arm")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import cost as C
 from plumbline.functions import text as X
+from plumbline.functions import titles as N
 from plumbline.operators import graph as G
 from plumbline.sources.tables import cut, table
 
@@ -107,6 +108,22 @@ def page_paths(spark, d):
     return table(spark, d, "pages").select("page_id", path.alias("path"), F.coalesce(X.is_text_file(path), F.lit(False)).alias("is_text"))
 
 
+def title_bridges(spark, d):
+    """Parts as pages whose text names the next part and itself."""
+    own = table(spark, d, "part").select("p_partkey", "p_name")
+    after = own.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
+    text = F.concat(F.lit("The "), F.initcap("p_name"), F.lit(" stands beside a "), F.upper("next"), F.lit(", like any "), F.col("next"), F.lit("."))
+    pages = own.join(after, "p_partkey").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("page"), text.alias("text"))
+    return N.bridges(pages, own.select(F.col("p_name").alias("title"))).select("id", F.array_join("bridges", "|").alias("bridges"))
+
+
+def redacted_reasons(spark, d):
+    """Turns whose quotes of the turn before are taken out, by conversation."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    own = table(spark, d, "conversations").select("conv_id", F.concat(F.substring("text", 1, 40), F.lit(" end")).alias("text"), F.lag("text").over(w).alias("passages"))
+    return own.groupBy("conv_id").agg(F.count(F.when(N.redact("text", "passages") != F.col("text"), 1)).alias("n_redacted"), F.count("*").alias("n"))
+
+
 def regime(i: str = "2.0", o: str = "10.0") -> Column:
     lit = lambda v: F.lit(v).cast("double")
     return F.struct(lit(2.0).alias("input"), lit(10.0).alias("output"), lit(2.0).alias("write_multiplier"), lit(0.1).alias("read_multiplier"), lit(272_000).alias("long_threshold"), lit(4.0).alias("long_input"), lit(0.4).alias("long_cached"), lit(12.0).alias("long_output"), lit(WINDOW).alias("window"))
@@ -134,7 +151,7 @@ def billed_costs(spark, d):
     return out.withColumn("saved", F.round(1 - F.col("billed") / F.col("listed"), 6))
 
 
-QUERIES = {f.__name__: f for f in (normalised_answers, turn_f1, norm_text, answers_present, chunks, chunk_counts, chunk_rows, first_sentences, token_frequencies, rare_tokens, reference_edges, reference_chains, chain_heads, page_paths, cost_grid, billed_costs)}
+QUERIES = {f.__name__: f for f in (normalised_answers, turn_f1, norm_text, answers_present, chunks, chunk_counts, chunk_rows, first_sentences, token_frequencies, rare_tokens, reference_edges, reference_chains, chain_heads, page_paths, cost_grid, billed_costs, title_bridges, redacted_reasons)}
 
 #: Letters with a mark as the letter and a blank, which is what NFKD and the fold make of them; other characters as a blank.
 _MARKED = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xE0, 0x100) if len(unicodedata.normalize("NFKD", chr(c))) == 2}
@@ -170,6 +187,13 @@ o AS (SELECT source, sum(CASE WHEN n <= {SIZE} THEN 1 ELSE ceil((n - {OVERLAP})
     "reference_edges": f"WITH {_EDGES} SELECT src, dst FROM e",
     "reference_chains": f"WITH RECURSIVE {_EDGES}, {_PATHS} SELECT array_to_string(path, '>') AS path, len(path)::INT AS n, CASE len(path) WHEN 1 THEN 'hop1' WHEN 2 THEN 'hop2' ELSE 'hop3plus' END AS stratum FROM m",
     "chain_heads": f"WITH RECURSIVE {_EDGES}, {_PATHS} SELECT path[1] AS head, array_to_string(arg_min(path, (-len(path), path)), '>') AS path FROM m GROUP BY path[1]",
+    "title_bridges": """WITH p AS (SELECT a.p_partkey AS id, lower(a.p_name) AS page, 'the ' || lower(a.p_name) || ' stands beside a ' || lower(b.p_name) || ' like any ' || lower(b.p_name) AS t FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+n AS (SELECT DISTINCT lower(p_name) AS norm FROM part WHERE len(string_split(p_name, ' ')) >= 2 AND length(p_name) >= 10),
+m AS (SELECT id, norm, strpos(' ' || t || ' ', ' ' || norm || ' ') AS at_ FROM p JOIN n ON contains(' ' || t || ' ', ' ' || norm || ' ') WHERE NOT contains(' ' || page || ' ', ' ' || norm || ' ') AND NOT contains(' ' || norm || ' ', ' ' || page || ' '))
+SELECT id, string_agg(norm, '|' ORDER BY at_, len(string_split(norm, ' ')), norm) AS bridges FROM m GROUP BY id""",
+    "redacted_reasons": """WITH w AS (SELECT conv_id, substr(text, 1, 40) || ' end' AS t, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
+x AS (SELECT conv_id, list_bool_or(list_transform(range(1, length(t) - 18), lambda i: contains(p, substr(t, i, 20)))) AS hit FROM w)
+SELECT conv_id, count(*) FILTER (hit) AS n_redacted, count(*) AS n FROM x GROUP BY conv_id""",
     "billed_costs": """WITH u AS (SELECT o_orderpriority AS arm, o_orderkey % 9000 AS i, o_orderkey % 700 AS o, o_custkey % 5000 AS w, CASE WHEN o_custkey % 3 > 0 THEN o_custkey * 10 ELSE 0 END AS r FROM orders),
 x AS (SELECT arm, round(((i + w * 2.0::DOUBLE + r * 0.1::DOUBLE) * 2.0::DOUBLE + o * 10.0::DOUBLE) / 1e6, 6) AS b, round(((i + w + r) * 2.0::DOUBLE + o * 10.0::DOUBLE) / 1e6, 6) AS l FROM u),
 s AS (SELECT arm, count(*) AS n, round(sum(b), 4) AS billed, round(sum(l), 4) AS listed FROM x GROUP BY arm)

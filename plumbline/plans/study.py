@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import decisions as D
 from plumbline.operators import runs as R
 from plumbline.operators import stats as S
+from plumbline.operators.graph import number_rows
 from plumbline.sources.tables import cut, table
 
 ARM_A, ARM_B = "click", "view"
@@ -73,8 +74,7 @@ def bootstrap_ci(spark, d):
     """Mean, interval and class of every arm's loss against the first one, over one shared draw."""
     own, arms = complete(spark, d)
     own = cut(own, "complete-runs")
-    ids = own.select("qid").distinct().withColumn("idx", F.row_number().over(Window.orderBy("qid")) - 1)  # questions, not events
-    ids = cut(ids.withColumn("idx", F.col("idx").cast("bigint")), "question-numbers")
+    ids = cut(number_rows(own.select("qid").distinct(), ["qid"]).withColumnRenamed("row_id", "idx"), "question-numbers")
     base = own.where(F.col("arm") == arms[0]).select("qid", F.col("value").alias("base"))
     deltas = own.where(F.col("arm") != arms[0]).join(base, "qid").join(ids, "qid").select("arm", "idx", (F.col("base") - F.col("value")).alias("value"))
     means = S.boot_means(deltas, ["arm"], ids.count())
