@@ -4,7 +4,6 @@ lineage with tables in the cluster's shared folder."""
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,10 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import shared_dir
+
 #: Characters that separate words, as in the class [^\x20\x09-\x0D].
 SPACES = r"\x20\x09-\x0D"
 #: Bytes of text that a Python worker turns into objects at a time; a longer text comes alone. It only bounds memory.
 SLICE = 2 << 20
+#: Bytes of an Arrow batch between an executor and its Python worker, which hold several copies of it. A session that has
+#: more is set to this by mapped(); it only bounds memory.
+ARROW, ARROW_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Folders of the tables made by cut(), for sweep().
 _made: set[str] = set()
 
@@ -26,25 +30,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset a folder of our own is made, in a
-    session of one machine only: on a cluster every executor would write to its own disk."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: later steps restart from it if executors are lost."""
+    """df written as a table in the shared folder and read back: later steps restart from it if executors are lost. Then the
+    driver's garbage is collected: only that makes Spark remove the shuffle files of steps that are done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.add(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,15 +47,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that no later step reads. The driver's garbage is collected, too: only then does Spark
-    remove the shuffle files of the steps that made them."""
+    """Delete tables made by cut() that no later step reads."""
     for df in tables:
         for file in df.inputFiles()[:1]:
             path = file.rsplit("/", 1)[0]
             _delete(df.sparkSession, path)
             _made.difference_update({p for p in _made if p.rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]})
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def sweep(spark: SparkSession) -> int:
@@ -114,6 +104,11 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """df.mapInArrow(run, schema) with batches cut into slices by the bytes of the column ``by``, and with what the task's
     Python worker no longer needs given back when it ends."""
 
+    conf = df.sparkSession.conf
+    most_bytes = conf.get(ARROW_CONF).lower().rstrip("b")
+    if not most_bytes.isdigit() or not 0 < int(most_bytes) <= ARROW:
+        conf.set(ARROW_CONF, str(ARROW))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(part for batch in batches for part in ([batch] if by is None else slices(batch, by, most)))

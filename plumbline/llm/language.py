@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents
+from plumbline.llm.common import documents, fresh, mapped
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS, EMBED = 16, 6
-#: The bound of the training sample: documents of each language, and languages.
+#: The bounds of the training sample: documents of each language; and languages, of which the most frequent are learned (a
+#: language beyond them is never predicted).
 PER_LANG, MOST_LANGS = 500, 200
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 UNKNOWN = "und"
@@ -111,7 +112,7 @@ def train(examples: list[tuple[str, str]]) -> Model | None:
     return m
 
 
-def predict_texts(model: Model | None, texts: list[str | None], most: int = 512) -> tuple[list[str], list[float]]:
+def predict_texts(model: Model | None, texts: list[str | None], most: int = 256) -> tuple[list[str], list[float]]:
     """Language and score of each text; UNKNOWN and 0.0 for null or a text without a letter, or where nothing was learned."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     own = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
@@ -173,13 +174,14 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict_texts(model, batch.column("_text").to_pylist())
-            names = [n for n in batch.schema.names if n != "_text"]
+            langs, scores = predict_texts(model, batch.column(own).to_pylist())
+            names = [n for n in batch.schema.names if n != own]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    src = df.select(df[id_col].alias("doc_id"), df[text_col].alias("_text"), *[df[c] for c in keep if c != id_col])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text"]
-    return src.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    own = fresh(df, "_text")
+    src = df.select(df[id_col].alias("doc_id"), df[text_col].alias(own), *[df[c] for c in keep if c != id_col])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != own]
+    return mapped(src, run, ", ".join([*fields, "lang_pred string", "score double"]), by=own)
 
 
 def learn(df: DataFrame) -> Model | None:

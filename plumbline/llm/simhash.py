@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, discard, documents, texts
+from plumbline.llm.common import cut, discard, documents, mapped, texts
 from plumbline.llm.components import components
 
 BITS = 64
@@ -71,7 +71,7 @@ def fingerprints(df: DataFrame, width: int = 3, distinct: bool = False, id_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, "u8").view("i8")), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n_shingles"])
 
     src = texts(df, id_col, text_col)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint, n_shingles bigint")
+    return mapped(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint, n_shingles bigint")
 
 
 def signed(x: int) -> int:
@@ -90,7 +90,7 @@ def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
         i, j = np.divmod(np.arange(BITS * BITS), BITS)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(total.ravel(), n).astype("i8"))], ["i", "j", "n"])
 
-    counts = nodes.select("fp").mapInArrow(run, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    counts = mapped(nodes.select("fp"), run, "i bigint, j bigint, n bigint", by=None).groupBy("i", "j").agg(F.sum("n").alias("n"))
     n, both = 0, np.zeros((BITS, BITS))
     for r in counts.collect():  # 64 x 64 + 1 rows
         if r["i"] < 0:
@@ -204,15 +204,19 @@ def links(nodes: DataFrame, most: int, sized: bool = False) -> DataFrame:
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*by, "block"]] + [F.col("a.id") != F.col("b.id"), (~F.col("a.own")) | (F.col("a.id") < F.col("b.id")), distance(F.col("a.fp"), F.col("b.fp")) <= most]
     pairs = a.join(b, on).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
     if most > 2:
-        return cut(pairs.distinct(), "near-links")
-    many = cut(met.where("full").select("id", "fp").distinct(), "in-full-buckets")
+        out = cut(pairs.distinct(), "near-links")
+        discard(buckets, met)
+        return out
+    many = cut(met.where("full").select("id", "fp").distinct(), "in-full-buckets")  # at most one row a node
     flips = F.explode(F.array(*[F.struct(F.col("fp").bitwiseXOR(F.lit(signed(c))).alias("key"), F.lit(c == 0).alias("own")) for c in [0, *(1 << b for b in range(BITS))]]))
     # At most 65 fingerprints are within one bit of a given one, and equal ones are combined before.
     near = many.groupBy("fp").agg(F.min("id").alias("id")).select("id", flips.alias("x")).groupBy("x.key")
     near = near.agg(F.min(F.when(F.col("x.own"), F.col("id"))).alias("center"), F.collect_list("id").alias("ids"))
     near = near.select((F.array_min("ids") if most > 1 else F.col("center")).alias("src"), F.explode("ids").alias("dst")).where("src != dst")
     same = many.join(many.groupBy("fp").agg(F.min("id").alias("first")), "fp").where("id != first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
-    return cut(pairs.union(near).union(same).distinct(), "near-links")
+    out = cut(pairs.union(near).union(same).distinct(), "near-links")
+    discard(buckets, met, many)
+    return out
 
 
 def near_duplicates(df: DataFrame, width: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
