@@ -6,7 +6,7 @@ from plumbline.llm import licences as L
 
 
 def brute(text):
-    parts = {text, *text.split("\n"), *re.split(r"\n\s*\n", text)}
+    parts = {text, *text.split("\n"), *re.split(r"\n\s*\n", text), *re.split(r"[.!?]\s+", text)}
     found = []
     for p in parts:
         own = re.findall(r"[^\W_]+", p.lower())
@@ -19,9 +19,30 @@ def brute(text):
     return best[1], None if best[0] is None else -best[0], ",".join(sorted({n for _, n in found}))
 
 
+def test_every_match_holds_a_telling_word():
+    import random
+
+    rng = random.Random(2)
+    for least in (0.5, 0.8, 0.95):
+        words = L.telling(L.TEMPLATES, least)
+        for text in L.TEMPLATES.values():
+            own = re.findall("[a-z0-9]+", text.lower())
+            for _ in range(60):  # parts that match, with the telling words taken out first
+                kept = [w for w in own if w not in words or rng.random() < 0.1]
+                a, b = {f"{x} {y}" for x, y in zip(kept, kept[1:])}, set(L.bigrams(text))
+                if a and 2 * len(a & b) / (len(a) + len(b)) >= least:
+                    assert set(kept) & set(words)
+
+
+def test_each_template_matches_itself(spark):
+    rows = [(name, text) for name, text in L.TEMPLATES.items()]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(name in got[name].licences.split(",") and got[name].dice == 1.0 for name in L.TEMPLATES)
+
+
 def test_scan_equals_brute_force(spark):
     notice = L.TEMPLATES["mit-notice"]
-    texts = ["", None, "plain prose only", "x\nreleased under the MIT license!\ny", "Licensed under the Apache License, Version 2.0", notice, "intro words here\n\n" + notice.replace("Software", "Work", 1) + "\n\nmore", "All rights reserved.\nReleased under the MIT License.", "word " * 30_000, "License", "All rights reserved. é"]
+    texts = ["", None, "plain prose only", "x\nreleased under the MIT license!\ny", "Licensed under the Apache License, Version 2.0", notice, "intro words here\n\n" + notice.replace("Software", "Work", 1) + "\n\nmore", "All rights reserved.\nReleased under the MIT License.", "word " * 30_000, "License", "All rights reserved. é", "Copyright 2020 Foo. All rights reserved. More words follow.", "a " + L.TEMPLATES["bsd-3-clause"].lower() + " b", L.TEMPLATES["unlicense"].replace("software", "work"), L.TEMPLATES["cc-by-nc-4.0"] + " x", "Some words first. Licensed under CC BY-NC 4.0. Then others."]
     df = spark.createDataFrame([(i, t, "q", 0.5) for i, t in enumerate(texts)] + [(None, texts[3], "q", 0.5), (3, texts[3], "q", 0.5)], "doc_id long, text string, licence string, dice double")
     got = L.scan(df).collect()
     assert len(got) == len(texts) + 2
