@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -114,3 +115,30 @@ def test_near_duplicates(spark):
     bits = {i: int(got[i].fingerprint, 16) for i in ids}
     want = brute_components([(a, b) for a in ids for b in ids if a < b and bin(bits[a] ^ bits[b]).count("1") <= 2], ids)
     assert {i: got[i].component_id for i in ids} == want
+
+
+def test_query_by_brute_force(spark):
+    """The whole query on a whole table: fingerprints by hand, links by comparing all pairs."""
+    small = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in S.op2_simhash(spark, small).collect()}
+    assert set(got) == set(text)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bits = {}
+    for i, t in text.items():
+        own = re.findall("[^\x20\x09-\x0d]+", t.translate(lower))
+        shingles = [" ".join(own[k : k + 3]) for k in range(max(1, len(own) - 2))] if own else []
+        h = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], "u8")
+        bits[i] = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+        assert got[i].fingerprint == f"{bits[i]:016x}"
+    ids = sorted(bits)
+    fps = np.array([bits[i] for i in ids], "u8")
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 2
+    want = brute_components([(ids[a], ids[b]) for a, b in zip(*np.nonzero(near)) if a < b], ids)
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "word " * 400_000), (2, "word " * 399_999 + "word"), (3, "x" * 3_000_000)]
+    got = {r.doc_id: r for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].fingerprint == got[2].fingerprint and got[2].component_id == 1 and got[3].component_id == 3
