@@ -110,11 +110,11 @@ def conversion_composition(spark, d):
 
 
 def numbered_runs(spark, d) -> tuple[DataFrame, int]:
-    """Runs of complete questions with recall and quality in 0 to 1."""
+    """Runs of complete questions with recall and quality in 0 to 1; recalls are whole 1024ths, whose sums are exact in any order."""
     own, _ = complete(spark, d)
     own = cut(own, "complete-runs")
     ids = cut(number_rows(own.select("qid").distinct(), ["qid"]).withColumnRenamed("row_id", "idx"), "run-questions")
-    runs = own.join(ids, "qid").select("arm", "qid", "idx", F.round(F.col("value") / 100, 6).alias("recall"), (F.col("value") > 50).cast("int").cast("double").alias("quality"))
+    runs = own.join(ids, "qid").select("arm", "qid", "idx", (F.floor(F.col("value") * 1024 / 100) / 1024).alias("recall"), (F.col("value") > 50).cast("int").cast("double").alias("quality"))
     return cut(runs, "numbered-runs"), ids.count()
 
 
@@ -210,13 +210,13 @@ i AS (SELECT x.k AS k_lo, y.k AS k_hi, round(quantile_cont(y.signal - x.signal,
 _NAMES = ("share", "separable_rate", '"null"', "signal")
 _CI = "round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.975), 6) AS high"
 _MED = ("presence", "em", "judge")
-_NUM = f"""{_FULL}, q AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS idx FROM k), x AS (SELECT f.arm, f.qid, q.idx, round(f.value / 100, 6) AS recall, (f.value > 50)::INT::DOUBLE AS quality FROM f JOIN q USING (qid)),
+_NUM = f"""{_FULL}, q AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS idx FROM k), x AS (SELECT f.arm, f.qid, q.idx, floor(f.value * 1024 / 100) / 1024 AS recall, (f.value > 50)::INT::DOUBLE AS quality FROM f JOIN q USING (qid)),
 {_DRAWS.format(seed=42, of='q')}, m AS (SELECT arm, rep, avg(recall) AS recall, avg(quality) AS quality FROM x JOIN g USING (idx) GROUP BY arm, rep), p AS (SELECT arm, count(*) AS n, avg(recall) AS recall, avg(quality) AS quality FROM x GROUP BY arm)"""
 _PLAN = f"""{_NUM}, l AS (SELECT chr(64 + x.i::INT) AS pair, x.arm AS first, y.arm AS second FROM a x JOIN a y ON y.i = x.i + 1),
 o AS (SELECT pair, first, second, u.rep, u.quality - v.quality AS diff FROM l JOIN m u ON u.arm = first JOIN m v ON v.arm = second AND v.rep = u.rep),
 j AS (SELECT pair, round(quantile_cont(diff, 0.025), 6) AS face_low, round(quantile_cont(diff, 0.975), 6) AS face_high, round(quantile_cont(diff, 0.005), 6) AS adj_low, round(quantile_cont(diff, 0.995), 6) AS adj_high FROM o GROUP BY pair),
 y AS (SELECT l.pair, first, second, round(abs(u.recall - v.recall), 6) AS recall_gap, abs(u.recall - v.recall) <= 0.03 + 1e-12 AS matched, round(u.quality - v.quality, 6) AS diff, face_low, face_high, adj_low, adj_high, l.pair = 'A' AS "primary" FROM l JOIN p u ON u.arm = first JOIN p v ON v.arm = second JOIN j ON j.pair = l.pair)"""
-_DELTAS = f"""{_FULL}, q AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS idx FROM k), x AS (SELECT f.arm, f.qid, q.idx, round(f.value / 100, 6) AS recall FROM f JOIN q USING (qid)),
+_DELTAS = f"""{_FULL}, q AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS idx FROM k), x AS (SELECT f.arm, f.qid, q.idx, floor(f.value * 1024 / 100) / 1024 AS recall FROM f JOIN q USING (qid)),
 dl AS (SELECT u.qid, u.idx, round(u.recall - v.recall, 6) AS value FROM x u JOIN x v USING (qid) WHERE u.arm = (SELECT arm FROM a WHERE i = 1) AND v.arm = (SELECT arm FROM a WHERE i = 2))"""
 _SIGN = "CASE WHEN n_nonzero = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(n_positive, n_nonzero - n_positive) + 1), lambda i: exp(lgamma(n_nonzero + 1) - lgamma(i + 1) - lgamma(n_nonzero - i + 1) + n_nonzero * ln(0.5))))) END"
 
