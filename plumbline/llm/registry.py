@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.audit import audit_sql, op12_filter_audit
 from plumbline.llm.importance import op1_importance
 from plumbline.llm.language import op9_language_id
 from plumbline.llm.licences import op8_licences, scan_sql
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 SQL: dict[str, str] = {
     "op6_quality_rules": rules_sql(),
     "op8_licences": scan_sql(),
+    "op12_filter_audit": audit_sql(),
 }

@@ -13,7 +13,8 @@ def test_sql_is_text_of_registered_queries():
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for table in ("documents", "labels"):
+        c.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     rel = c.sql(registry.SQL[name])
     df = registry.QUERIES[name](spark, SMALL)
     cols = sorted(df.columns)
