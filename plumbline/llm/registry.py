@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.audit import audit_sql, op12_filter_audit
+from plumbline.llm.codes import op13_vector_codes
 from plumbline.llm.importance import op1_importance
 from plumbline.llm.language import op9_language_id
 from plumbline.llm.licences import op8_licences, scan_sql
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
     "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
