@@ -11,6 +11,7 @@ from plumbline.llm.codes import op13_vector_codes
 from plumbline.llm.importance import op1_importance
 from plumbline.llm.language import op9_language_id
 from plumbline.llm.licences import op8_licences, scan_sql
+from plumbline.llm.neighbours import op11_neighbours
 from plumbline.llm.packing import op10_packing
 from plumbline.llm.passages import op4_passages
 from plumbline.llm.pieces import op7_sentencepiece
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_neighbours": op11_neighbours,
     "op12_filter_audit": op12_filter_audit,
     "op13_vector_codes": op13_vector_codes,
 }
