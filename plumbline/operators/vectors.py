@@ -108,23 +108,41 @@ def as_bytes(df: DataFrame, column: str = "vector") -> DataFrame:
     return df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column).mapInArrow(run, f"id {kind}, data binary")
 
 
-def best_of_pairs(pairs: DataFrame, k: int, digits: int, kind: str, score: Callable[[bytes, int, np.ndarray, object], np.ndarray], by: str | None = None) -> DataFrame:
-    """(qid, rank, id, score) from pairs (ids, data, qids, queries, and by) of packs and blocks; score(data, rows, query matrix,
-    by) gives a matrix query x row. Scores are rounded before they are ordered, and ties go to the least id."""
+def as_floats(df: DataFrame) -> DataFrame:
+    """(id, cell, data) of df (id, cell, vector): rows of an index whose vectors are kept as floats."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cell"), pa.array([r.tobytes() for r in matrix_of(batch.column("vector")).astype("f4")], pa.binary())], ["id", "cell", "data"])
+
+    return df.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "cell", "vector").mapInArrow(run, f"id {kind}, cell int, data binary")
+
+
+def scored(pairs: DataFrame, k: int, digits: int, kind: str, score: Callable[[bytes, int, np.ndarray, object], np.ndarray], by: str | None = None, probed: bool = False) -> DataFrame:
+    """(qid, id, score), and probe if ``probed``: the k best rows of each pair of a pack and a block, with ties at the edge, from pairs
+    (ids, data, qids, queries, and by); score(data, rows, query matrix, by) gives a matrix query x row. Scores are rounded
+    to ``digits``. If probed, the first column of the queries is not theirs but what becomes ``probe``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, qids = (batch.column(c)[i].values for c in ("ids", "qids"))
                 q = np.frombuffer(batch.column("queries")[i].as_py(), "f8").reshape(len(qids), -1)
+                probe, q = (q[:, 0], q[:, 1:]) if probed else (None, q)
                 s = np.round(score(batch.column("data")[i].as_py(), len(ids), q, batch.column(by)[i].as_py() if by else None), digits)
-                # A pair keeps ties at its edge; the window takes the least ids of them.
                 one, two = np.nonzero(best_rows(ids, s, k) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(s[one, two])], ["qid", "id", "score"])
+                columns = [qids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(s[one, two])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(probe[one].astype("i4"))] if probed else columns, ["qid", "id", "score"] + ["probe"] * probed)
+
+    return pairs.select(*([by] if by else []), "ids", "data", "qids", "queries").mapInArrow(run, f"qid bigint, id {kind}, score double{', probe int' if probed else ''}")
 
-    found = pairs.select(*([by] if by else []), "ids", "data", "qids", "queries").mapInArrow(run, f"qid bigint, id {kind}, score double")
+
+def best_of_pairs(pairs: DataFrame, k: int, digits: int, kind: str, score: Callable[[bytes, int, np.ndarray, object], np.ndarray], by: str | None = None) -> DataFrame:
+    """(qid, rank, id, score): the k best of what scored() gives for each query, ties to the least id."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    return scored(pairs, k, digits, kind, score, by).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6, pack: int = PACK, block: int = BLOCK) -> DataFrame:
@@ -342,23 +360,72 @@ def build_index(df: DataFrame, nlist: int | None = None, coding: str = "exact",
     return index, df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column).mapInArrow(run, f"id {kind}, cell int, data binary")
 
 
-def search_index(index: Index, rows: DataFrame, queries: DataFrame, k: int, nprobe: int, digits: int = 6) -> DataFrame:
-    """(qid, rank, id, score) from the nprobe cells whose centroids are nearest to each query. Packs of a cell meet the blocks
-    of queries that probe it, and no others: cells that nobody probes are not read beyond the join."""
+def probes(index: Index, queries: DataFrame, nprobe: int, ranked: bool = False) -> DataFrame:
+    """(cell, id, probe, data): each of queries (qid, vector) once for each of its nprobe nearest cells, the nearest as probe 0; data are
+    the vector's doubles, if ``ranked`` after the probe's number as one more."""
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 q = np.stack([np.frombuffer(x.as_py(), "f8") for x in batch.column("data")])
                 near = index.near(q, nprobe)
-                at = pa.array(np.repeat(np.arange(len(q)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype("i4")), batch.column("id").take(at), batch.column("data").take(at)], ["cell", "id", "data"])
+                at, probe = np.repeat(np.arange(len(q)), near.shape[1]), np.tile(np.arange(near.shape[1]), len(q))
+                data = np.column_stack([probe.astype("f8"), q[at]]) if ranked else q[at]
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype("i4")), batch.column("id").take(pa.array(at)), pa.array(probe.astype("i4")), pa.array([r.tobytes() for r in data], pa.binary())], ["cell", "id", "probe", "data"])
+
+    return as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")).mapInArrow(run, "cell int, id bigint, probe int, data binary")
 
-    asked = as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")).mapInArrow(probe, "cell int, id bigint, data binary")
-    blocks = packed(asked, BLOCK, "cell").toDF("cell", "qids", "queries")
+
+def search_index(index: Index, rows: DataFrame, queries: DataFrame, k: int, nprobe: int, digits: int = 6) -> DataFrame:
+    """(qid, rank, id, score) from the nprobe cells whose centroids are nearest to each query. Packs of a cell meet the blocks
+    of queries that probe it, and no others: cells that nobody probes are not read beyond the join."""
+    blocks = packed(probes(index, queries, nprobe), BLOCK, "cell").toDF("cell", "qids", "queries")
     return best_of_pairs(packed(rows, PACK, "cell").join(blocks, "cell"), k, digits, rows.schema["id"].dataType.simpleString(), index.score, "cell")
 
 
+def sweep_index(index: Index, rows: DataFrame, queries: DataFrame, k: int, nprobes: list[int], digits: int = 6) -> DataFrame:
+    """(nprobe, qid, rank, id, score): what search_index() finds for each of the nprobes, from one pass over the cells.
+
+    Each candidate carries the probe at which its cell comes, and a search of fewer probes is the best k of those that come
+    earlier; a cell gives its own k best to a query, so a query has k rows for each of its probes at most.
+    """
+    blocks = packed(probes(index, queries, max(nprobes), ranked=True), BLOCK, "cell").toDF("cell", "qids", "queries")
+    found = scored(packed(rows, PACK, "cell").join(blocks, "cell"), k, digits, rows.schema["id"].dataType.simpleString(), index.score, "cell", probed=True)
+    each = found.withColumn("nprobe", F.explode(F.filter(F.array(*map(F.lit, nprobes)), lambda n: n > F.col("probe"))))
+    w = Window.partitionBy("nprobe", "qid").orderBy(F.desc("score"), "id")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("nprobe", "qid", "rank", "id", "score")
+
+
+def shares_read(index: Index, rows: DataFrame, queries: DataFrame, nprobes: list[int]) -> DataFrame:
+    """(nprobe, share): the share of all rows that lie in the cells which a search of nprobe cells reads, over all queries."""
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    asked = probes(index, queries, max(nprobes)).groupBy("cell", "probe").agg(F.count("*").alias("asked"))
+    each = asked.join(sizes, "cell", "left").withColumn("nprobe", F.explode(F.filter(F.array(*map(F.lit, nprobes)), lambda n: n > F.col("probe"))))
+    read = each.groupBy("nprobe").agg(F.sum(F.col("asked") * F.coalesce("n", F.lit(0))).alias("read"), F.sum(F.when(F.col("probe") == 0, F.col("asked"))).alias("asked"))
+    whole = F.greatest(F.lit(rows.count()), F.lit(1))
+    return read.select("nprobe", F.round(F.col("read") / (F.col("asked") * whole), 6).alias("share"))
+
+
+def refined_sweep(found: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, factors: list[int]) -> DataFrame:
+    """(nprobe, factor, qid, rank, id, score): of the best factor * k candidates of each nprobe by their estimates, the k best by exact
+    inner product. found is sweep_index() with k times the largest factor; each pair is scored once for all points."""
+    pairs = found.select("qid", "id").distinct()
+    both = pairs.join(corpus.select("id", F.col("vector").alias("v")), "id").join(queries.select("qid", F.col("vector").alias("q")), "qid")
+    exact = both.select("qid", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("exact"))
+    each = found.join(exact, ["qid", "id"]).withColumn("factor", F.explode(F.filter(F.array(*map(F.lit, factors)), lambda n: n * k >= F.col("rank"))))
+    w = Window.partitionBy("nprobe", "factor", "qid").orderBy(F.desc("exact"), "id")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("nprobe", "factor", "qid", "rank", "id", F.col("exact").alias("score"))
+
+
+def recalls(pred: DataFrame, truth: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """(by, recall): recall_at_k() of each group of pred (by, qid, rank, id); groups without a row for a query count it as none."""
+    t = truth.where(F.col("rank") <= k).select("qid", "id")
+    hits = pred.where(F.col("rank") <= k).join(t, ["qid", "id"]).groupBy(*by, "qid").agg(F.count("*").alias("hits"))
+    per = hits.join(t.groupBy("qid").agg(F.count("*").alias("n")), "qid").groupBy(*by).agg(F.sum(F.col("hits") / F.col("n")).alias("sum"))
+    asked = F.greatest(F.lit(t.select("qid").distinct().count()), F.lit(1))
+    return pred.select(*by).distinct().join(per, by, "left").select(*by, F.round(F.coalesce(F.col("sum") / asked, F.lit(0.0)), 6).alias("recall"))
+
+
 def refine(candidates: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best of given candidates (qid, id) by exact inner product; each query has a bounded number of them."""
     both = candidates.select("qid", "id").join(corpus.select("id", F.col("vector").alias("v")), "id").join(queries.select("qid", F.col("vector").alias("q")), "qid")

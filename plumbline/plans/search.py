@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import hnsw
 from plumbline.operators import vectors as V
 from plumbline.sources.tables import cut, table
 
@@ -102,6 +103,45 @@ def ivf_sign_recall(spark, d):
     return _recall(spark, d, "sign", 10 * K)
 
 
+NPROBES, FACTORS, EFS = [1, 2, 4, 8, 16, 32, 64, 128, 256], [1, 2, 5, 10], [16, 32, 64, 128, 256, 512]
+
+
+def hnsw_topk(spark, d):
+    rows = corpus(spark, d).select("id", "vector")
+    return hnsw.search(hnsw.index(rows), queries(rows), K, [128]).drop("ef")
+
+
+def hnsw_recall(spark, d):
+    """Recall of the layered graphs at each width of the search."""
+    rows = corpus(spark, d).select("id", "vector")
+    found = hnsw.search(hnsw.index(rows), queries(rows), K, EFS)
+    return V.recalls(found, V.top_k(rows, queries(rows), K), K, ["ef"])
+
+
+def probe_sweep(spark, d):
+    """Recall and share of rows read at each number of probed cells, where a cell is a label with the mean of its vectors."""
+    rows = corpus(spark, d).where("label is not null and vector is not null")
+    means = rows.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("v"))
+    own = means.orderBy("label").limit(V.FIT_ROWS).collect()  # a row a cell
+    index = V.Index(V.stack([r["v"] for r in own]))
+    cells = spark.createDataFrame([(r["label"], i) for i, r in enumerate(own)], "label int, cell int")
+    coded = cut(V.as_floats(rows.join(cells, "label").select("id", "cell", "vector")), "label-cells")
+    asked = queries(rows)
+    found = V.sweep_index(index, coded, asked, K, NPROBES)
+    return V.recalls(found, V.top_k(rows, asked, K), K, ["nprobe"]).join(V.shares_read(index, coded, asked, NPROBES), "nprobe")
+
+
+def ivf_refine_sweep(spark, d):
+    """Recall of product codes at each number of probed cells and each factor of candidates that are compared exactly."""
+    rows = corpus(spark, d).select("id", "vector")
+    index, coded = V.build_index(rows, coding="pq")
+    coded, asked = cut(coded, "index-pq"), queries(rows)
+    found = cut(V.sweep_index(index, coded, asked, K * max(FACTORS), NPROBES), "sweep")
+    points = V.recalls(V.refined_sweep(found, rows, asked, K, FACTORS), V.top_k(rows, asked, K), K, ["nprobe", "factor"])
+    return points.join(V.shares_read(index, coded, asked, NPROBES), "nprobe")
+
+
 def label_precision(spark, d):
     """Share of each label's true neighbours that have the label of the query."""
     rows = corpus(spark, d)
@@ -135,7 +175,7 @@ def payload(spark, d):
     return spark.createDataFrame([(c, V.payload_bytes(c, dim), 4 * dim / V.payload_bytes(c, dim)) for c in ("exact", "sq8", "pq", "sign")], "coding string, bytes int, compression double")
 
 
-QUERIES = {f.__name__: f for f in (exact_topk, exact_topk_renormalised, mrl_recall, sq8_topk, sq8_recall, sq8_bounds, pca_recall, explained_variance, ivf_topk, ivf_recall, ivf_pq_recall, ivf_sign_recall, label_precision, separable_lists, payload, index_bytes)}
+QUERIES = {f.__name__: f for f in (exact_topk, exact_topk_renormalised, mrl_recall, sq8_topk, sq8_recall, sq8_bounds, pca_recall, explained_variance, ivf_topk, ivf_recall, ivf_pq_recall, ivf_sign_recall, hnsw_topk, hnsw_recall, probe_sweep, ivf_refine_sweep, label_precision, separable_lists, payload, index_bytes)}
 
 _TOP = """
 SELECT qid, rank::INT AS rank, id, score FROM (
@@ -167,6 +207,16 @@ SQL = {
     "sq8_topk": f"WITH {_RAW}, {_BOUNDS}, {_SQ8} {_top('e', 'z')}",
     "sq8_recall": _recall_sql(f"{_BOUNDS}, {_SQ8}", _top("e", "z")),
     "sq8_bounds": f"WITH {_RAW}, {_BOUNDS} SELECT dim::INT AS dim, low, high FROM b",
+    "probe_sweep": f"""WITH {_RAW}, l AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL),
+m AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(len(v))) AS i, unnest(v) AS x FROM l) GROUP BY ALL) GROUP BY label),
+p AS (SELECT q.id AS qid, q.v, m.label, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, m.v) DESC, m.label) - 1 AS probe FROM l q, m WHERE q.id % {EVERY} = 0),
+s AS (SELECT unnest({NPROBES})::INT AS nprobe),
+f AS (SELECT nprobe, qid, c.id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY round(list_dot_product(p.v, c.v), 6) DESC, c.id) AS r FROM s JOIN p ON probe < nprobe JOIN l c USING (label)),
+t AS ({_top('l', 'l')}),
+h AS (SELECT nprobe, count(t.id) / (SELECT count(*) FROM t) AS recall FROM f LEFT JOIN t ON t.qid = f.qid AND t.id = f.id WHERE r <= {K} GROUP BY nprobe),
+n AS (SELECT label, count(*) AS n FROM l GROUP BY label)
+SELECT nprobe, round(recall, 6) AS recall, round(sum(n) / ((SELECT count(DISTINCT qid) FROM p) * (SELECT count(*) FROM l)), 6) AS share
+FROM h JOIN p ON probe < nprobe JOIN n USING (label) GROUP BY nprobe, recall""",
     "label_precision": f"""WITH {_RAW}, t AS ({_top('e', 'e', K + 1)}), n AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM t WHERE qid != id)
 SELECT o.label, round(avg((o.label = c.label)::INT), 6) AS precision, count(*) AS n FROM n JOIN e o ON o.id = n.qid JOIN e c ON c.id = n.id WHERE r <= {K} GROUP BY o.label""",
     "separable_lists": f"""WITH {_RAW}, {_BOUNDS}, {_SQ8}, t AS ({_top('e', 'e')}), p AS ({_top('e', 'z')}),
