@@ -2,9 +2,11 @@
 
 A text, its paragraphs, its lines and its sentences are the parts. A part is normalised (lower case, runs of letters and
 digits) and becomes the set of its word bigrams; a template matches by the Dice coefficient 2 |A and B| / (|A| + |B|).
+A template of ``WINDOW`` words or more is also compared to runs of as many words anywhere in a text, whatever lines,
+comment marks or code are around them, that begin with one of its bigrams.
 The sizes alone bound the coefficient by 2 min / (|A| + |B|), so only templates of a size near the part's are compared.
 And a match shares so many of a template's bigrams that it must hold one of a few telling words; parts, and texts, that
-hold none of them need no bigrams at all.
+hold none of them need no bigrams at all, and a text's runs are looked at only if the whole text holds that many.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from plumbline.llm.common import documents
 from plumbline.llm.spotsigs import COMMON, bind
 
 LEAST = 0.8
+#: Templates of fewer words are looked for in lines, sentences and paragraphs only.
+WINDOW = 8
 #: White space in the patterns that part a text.
 BLANK = r"[ \t\n\f\r]"
 #: Licences and their notices as they are published.
@@ -119,10 +123,38 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(own, own[1:], strict=False)})
 
 
+def n_words(text: str) -> int:
+    return len(re.findall(r"[a-z0-9]+", text.lower()))
+
+
+def run_of(part: Column) -> Column:
+    """The word bigrams of a part in their order."""
+    words = F.regexp_extract_all(F.lower(part), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return bind(words, lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
+
+
 def pairs_of(part: Column) -> Column:
     """The distinct word bigrams of a part."""
-    words = F.regexp_extract_all(F.lower(part), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return bind(words, lambda w: F.array_distinct(F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))))
+    return F.array_distinct(run_of(part))
+
+
+def best_window(run: Column, own: list[str], size: int, least: float) -> Column:
+    """The best coefficient of a template, given as its bigrams, with the runs of ``size`` bigrams of a text that begin with one of
+    them; null if the whole text holds too few of them for any."""
+    theirs = F.array(*map(F.lit, own))
+    dice = lambda w: 2.0 * F.size(F.array_intersect(w, theirs)) / (F.size(w) + len(own))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(run), F.lit(1))), lambda i: F.array_contains(theirs, F.get(run, i - 1)))
+    each = F.transform(starts, lambda i: bind(F.array_distinct(F.slice(run, i, F.lit(size))), dice))
+    return F.when(F.size(F.array_intersect(run, theirs)) >= least / (2 - least) * len(own) - 1e-9, F.array_max(each))
+
+
+def window_matches(text: Column, templates: dict[str, str], least: float) -> Column:
+    """(dice, licence) of each template of WINDOW words or more that some run of as many words is like, the best of its runs."""
+    long = {name: t for name, t in sorted(templates.items()) if n_words(t) >= WINDOW}
+    if not long:
+        return F.array().cast("array<struct<dice:double,licence:string>>")
+    of = lambda run: F.array(*[F.struct(best_window(run, bigrams(t), n_words(t) - 1, least).alias("dice"), F.lit(name).alias("licence")) for name, t in long.items()])
+    return F.filter(bind(run_of(text), of), lambda m: m["dice"] >= least)
 
 
 def matches(part: Column, templates: dict[str, str], least: float) -> Column:
@@ -190,7 +222,8 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, least: float =
     words = F.array(*map(F.lit, telling(templates, least))).cast("array<string>")
     tells = lambda part: F.arrays_overlap(F.split(F.lower(part), r"[^\p{L}\p{N}]+"), words)
     some = F.filter(parts_of(text), tells)
-    found = F.when(tells(text), F.flatten(F.transform(some, lambda p: matches(p, templates, least)))).otherwise(F.array().cast("array<struct<dice:double,licence:string>>"))
+    parts = F.flatten(F.transform(some, lambda p: matches(p, templates, least)))
+    found = F.when(tells(text), F.concat(parts, window_matches(text, templates, least))).otherwise(F.array().cast("array<struct<dice:double,licence:string>>"))
     rows = df.select(df[id_col].alias("doc_id"), found.alias("found"))
     best = F.element_at(F.array_sort(F.transform("found", lambda m: F.struct((-m["dice"]).alias("d"), m["licence"].alias("licence")))), 1)
     rows = rows.withColumn("best", F.when(F.size("found") > 0, best))
@@ -202,9 +235,9 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
-    rows = ", ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams(text))}])" for name, text in sorted(templates.items()))
+    rows = ", ".join(f"('{name}', {n_words(text)}, [{', '.join(repr(b) for b in bigrams(text))}])" for name, text in sorted(templates.items()))
     return rf"""
-WITH template(licence, b) AS (VALUES {rows}),
+WITH template(licence, m, b) AS (VALUES {rows}),
 part AS (
   SELECT DISTINCT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n{BLANK}*\n'), regexp_split_to_array(t, '[.!?]{BLANK}+'), [t])) AS p
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
@@ -213,6 +246,12 @@ gram AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i:
 dice AS (
   SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
   FROM gram JOIN template ON 2 * least(len(a), len(b)) >= {least} * (len(a) + len(b))),
-good AS (SELECT doc_id, licence, max(dice) AS dice FROM dice WHERE dice >= {least} GROUP BY ALL),
+flat AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+run AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM flat WHERE len(w) > 1),
+window_dice AS (
+  SELECT doc_id, licence, list_max(list_transform(list_filter(range(1, len(g) + 1), lambda i: list_contains(b, g[i])),
+    lambda i: 2.0::DOUBLE * len(list_intersect(list_distinct(g[i:i + m - 2]), b)) / (len(list_distinct(g[i:i + m - 2])) + len(b)))) AS dice
+  FROM run JOIN template ON m >= {WINDOW} AND len(list_intersect(list_distinct(g), b)) >= {least / (2 - least)} * len(b) - 1e-9),
+good AS (SELECT doc_id, licence, max(dice) AS dice FROM (FROM dice UNION ALL FROM window_dice) WHERE dice >= {least} GROUP BY ALL),
 best AS (SELECT doc_id, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice, string_agg(licence, ',' ORDER BY licence) AS licences FROM good GROUP BY doc_id)
 SELECT doc_id, licence, dice, coalesce(licences, '') AS licences FROM documents LEFT JOIN best USING (doc_id)"""

@@ -5,6 +5,17 @@ import pytest
 from plumbline.llm import licences as L
 
 
+def windows(text, begins=lambda x, b: True):
+    """The best coefficient of each longer template over all runs of as many words, one by one."""
+    own = re.findall(r"[^\W_]+", text.lower())
+    run, best = [f"{x} {y}" for x, y in zip(own, own[1:])], {}
+    for name, t in L.TEMPLATES.items():
+        b, m = set(L.bigrams(t)), L.n_words(t)
+        if m >= L.WINDOW and len(b & set(run)) >= 0.6 * len(b):
+            best[name] = max((2 * len(b & (a := set(run[i : i + m - 1]))) / (len(a) + len(b)) for i, x in enumerate(run) if begins(x, b)), default=0.0)
+    return best
+
+
 def brute(text):
     parts = {text, *text.split("\n"), *re.split(r"\n\s*\n", text), *re.split(r"[.!?]\s+", text)}
     found = []
@@ -15,6 +26,9 @@ def brute(text):
             b = set(L.bigrams(t))
             if a and 2 * len(a & b) / (len(a) + len(b)) >= L.LEAST:
                 found.append((-2 * len(a & b) / (len(a) + len(b)), name))
+    for name, dice in windows(text, lambda x, b: x in b).items():
+        if dice >= L.LEAST:
+            found.append((-dice, name))
     best = min(found) if found else (None, None)
     return best[1], None if best[0] is None else -best[0], ",".join(sorted({n for _, n in found}))
 
@@ -52,3 +66,40 @@ def test_scan_equals_brute_force(spark):
     assert {r.doc_id: r.licence for r in got}[6] == "mit-notice"
     assert L.scan(df.limit(0)).count() == 0
     assert not re.search("Python|Pandas|Arrow", L.scan(df)._jdf.queryExecution().executedPlan().toString())
+
+
+def header(text, mark="# ", width=75):
+    lines, now = [], ""
+    for w in text.split():
+        if len(now) + len(w) > width:
+            lines.append(now)
+            now = ""
+        now += f" {w}" if now else w
+    return "\n".join(mark + x for x in [*lines, now])
+
+
+@pytest.mark.parametrize("mark", ["# ", "// ", " * ", ";; "])
+def test_headers_of_source_files_are_found(spark, mark):
+    code = "\nimport os\nx = compute(1, 2)\nfor i in range(x):\n    print(i, 'all of it')\n" * 40
+    rows = [(name, f"#!/usr/bin/env run\n{header(text, mark)}{code}") for name, text in L.TEMPLATES.items() if L.n_words(text) >= L.WINDOW]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(name in got[name].licences.split(",") and got[name].dice >= 0.97 for name, _ in rows) and len(rows) > 18
+    assert len(L.scan(spark.createDataFrame([("code", code * 20)], "doc_id string, text string")).first().licences) == 0
+
+
+def test_no_run_of_words_is_missed(spark):
+    """Templates with words changed, put in and left out, somewhere in prose: what any run of words gives is found."""
+    import random
+
+    rng = random.Random(5)
+    names, rows = [n for n, t in L.TEMPLATES.items() if L.n_words(t) >= L.WINDOW], []
+    for k in range(60):
+        own = L.TEMPLATES[rng.choice(names)].split()
+        for _ in range(rng.randrange(0, max(2, len(own) // 8))):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = [f"w{rng.randrange(99)}"] * rng.randrange(2)
+        around = [" ".join(rng.choice(["the", "of", "software", "in", f"p{rng.randrange(50)}"]) for _ in range(rng.randrange(80))) for _ in range(2)]
+        rows.append((k, f"{around[0]} {' '.join(own)} {around[1]}"))
+    got = {r.doc_id: set(r.licences.split(",")) for r in L.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    sure = [(k, name) for k, text in rows for name, dice in windows(text).items() if dice >= L.LEAST]
+    assert len(sure) > 40 and sum(name in got[k] for k, name in sure) >= 0.98 * len(sure)
