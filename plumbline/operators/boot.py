@@ -1,8 +1,5 @@
 """Bootstrap summaries over paired samples. All of them share the portable draws of ``stats``: a replicate is a weight per
 row, joined by the row's number, and one draw serves every arm, depth and metric of a summary, so differences stay paired.
-
-Samples are aggregated (one row a question), and their draws are ``replicates`` times as many: ``MOST_ROWS`` bounds them,
-and a larger sample fails instead of growing without notice.
 """
 
 from __future__ import annotations
@@ -13,15 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import decisions as D
 from plumbline.operators import stats as S
 
-#: Questions in a sample.
-MOST_ROWS = 1_000_000
-
-
-def checked(n: int) -> int:
-    if n > MOST_ROWS:
-        raise ValueError(f"{n} questions in a sample; the bootstrap is for aggregated samples of at most {MOST_ROWS}")
-    return n
-
 
 def interval(value: Column, alpha: float = S.ALPHA) -> Column:
     """(low, high) of replicates as a struct: interpolated quantiles, nulls left out, to six places."""
@@ -31,7 +19,7 @@ def interval(value: Column, alpha: float = S.ALPHA) -> Column:
 
 def with_draws(rows: DataFrame, n: int, replicates: int = S.REPLICATES, seed: int | str = S.SEED) -> DataFrame:
     """rows (idx, ...) once for each replicate that draws them, with rep and weight."""
-    return rows.join(S.draws(rows.sparkSession, checked(n), replicates, seed), "idx")
+    return rows.join(S.draws(rows.sparkSession, n, replicates, seed), "idx")
 
 
 def medians(values: DataFrame, by: list[str], n: int, replicates: int = S.REPLICATES, seed: int | str = S.SEED) -> DataFrame:
@@ -143,7 +131,7 @@ def power(a: DataFrame, b: DataFrame, n_a: int, n_b: int, shifts: list[float], s
     import numpy as np
     import pandas as pd
 
-    x, y = (np.array(sorted(r["value"] for r in df.select("value").limit(checked(n) + 1).collect()), float) for df, n in ((a, n_a), (b, n_b)))
+    x, y = (np.array(sorted(r["value"] for r in df.select("value").limit(S.checked(n) + 1).collect()), float) for df, n in ((a, n_a), (b, n_b)))
     x, y = x - np.median(x), y - np.median(y)
 
     def run(batches):

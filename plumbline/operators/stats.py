@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REPLICATES, SEED, ALPHA = 200, 42, 0.05
+#: Rows in a sample. Samples are aggregated (one row a question), and their draws are ``replicates`` times as many: a larger
+#: sample fails instead of growing without notice.
+MOST_ROWS = 1_000_000
+
+
+def checked(n: int) -> int:
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} questions in a sample; the bootstrap is for aggregated samples of at most {MOST_ROWS}")
+    return n
 
 
 def portable(label: Column, n: Column) -> Column:
@@ -18,7 +27,7 @@ def portable(label: Column, n: Column) -> Column:
 
 def draws(spark, n: int, replicates: int = REPLICATES, seed: int | str = SEED) -> DataFrame:
     """(rep, idx, weight): how often each of n rows is drawn in each replicate, for n rows of an aggregated sample."""
-    grid = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("slot"))
+    grid = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(checked(n) - 1, 0)))).alias("slot"))
     idx = portable(F.concat_ws(":", F.lit(str(seed)), "rep", "slot"), F.lit(max(n, 1)))
     return grid.where(F.lit(n > 0)).select("rep", idx.alias("idx")).groupBy("rep", "idx").agg(F.count("*").alias("weight"))
 

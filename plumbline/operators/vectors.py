@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import cut
+
 #: Rows in a pack and queries in a block; with the dimension they bound what a task holds.
 PACK, BLOCK = 8192, 1024
 #: Rows that centroids, codebooks and rotations are fitted on at most.
@@ -152,8 +154,9 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6, pack:
     on the order of additions. Null ids and vectors are left out; fewer rows than k give fewer. A stated set of queries
     meets all rows, so the work is the product of both; packs and blocks are what is paired.
     """
-    rows = packed(as_bytes(corpus), pack)
-    asked = packed(as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")), block).toDF("qids", "queries")
+    # Both as tables: a product goes through each side once for every partition of the other.
+    rows = cut(packed(as_bytes(corpus), pack), "packs")
+    asked = cut(packed(as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")), block).toDF("qids", "queries"), "blocks")
     exact = lambda data, n, q, _: q @ np.frombuffer(data, "f8").reshape(n, -1).T
     return best_of_pairs(rows.crossJoin(asked), k, digits, corpus.schema["id"].dataType.simpleString(), exact)
 

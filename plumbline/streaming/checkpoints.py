@@ -46,3 +46,14 @@ def current(spark: SparkSession, path: str, keys: list[str], order: str) -> Data
     """The latest row of each key over all batches."""
     rows = spark.read.parquet(path).drop("batch")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).select("r.*")
+
+
+def drained(stream: DataFrame, path: str, state: str) -> DataFrame:
+    """What an aggregated stream gives for all that is there now, as a table below ``path``: each batch replaces the one before,
+    so the last one stays. Started again with the same state it goes on with what is new."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
