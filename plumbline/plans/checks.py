@@ -76,9 +76,9 @@ def index_completeness(spark, d):
 
 
 def bound_calls(spark, d):
-    calls = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.floor(F.col("value") / 10).cast("bigint").alias("n_results"))
-    wanted = spark.range(300).select(F.col("id").alias("qid"))
-    return V.calls_bind(calls.where("qid % 3 > 0"), wanted, 9)
+    calls = table(spark, d, "events").select(F.col("user_id").alias("qid"), F.floor(F.col("value") / 10).cast("bigint").alias("n_results"), F.col("event_type").alias("type"))
+    wanted = table(spark, d, "events").select(F.col("user_id").alias("qid")).distinct()
+    return V.calls_bind(calls.where("type = 'purchase'").drop("type"), wanted, 9)
 
 
 def used_shards(spark, d):
@@ -134,7 +134,8 @@ def checkpoint_spent(spark, d):
 
 
 def checkpoint_missing(spark, d):
-    wanted = spark.range(200).select(F.col("id").alias("qid"), F.explode(F.array(F.lit("click"), F.lit("absent"))).alias("arm"))
+    users = table(spark, d, "events").select(F.col("user_id").alias("qid")).distinct()
+    wanted = users.select("qid", F.explode(F.array(F.lit("click"), F.lit("absent"))).alias("arm"))
     return T.missing(checkpoint(spark, d), wanted)
 
 
@@ -252,7 +253,7 @@ def prompt_texts(spark, d):
 
 def retrieved_hops(spark, d):
     """Orders as questions, their lines' parts as retrieved rows, two parts as gold."""
-    own = table(spark, d, "lineitem").where("l_linenumber <= 6").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    own = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
     ids = F.transform("x", lambda r: r["l_partkey"])
     own = own.select("l_orderkey", X.padded(ids, 6).alias("ids"))
     gold = F.array(F.element_at("ids", 2), F.element_at("ids", 5), F.lit(-1).cast("bigint"))
@@ -298,7 +299,7 @@ SELECT 'S' AS scope, s AS n, s > 0 AND out = 0 AND s < m AS strictly_inside FROM
     "errored_runs": "SELECT event_id AS qid, event_type AS arm, 'code ' || (event_id % 7) AS error FROM events WHERE value > 60",
     "stale_threads": "WITH t AS (SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS fetch_basis FROM orders) SELECT fetch_basis, count(*) AS n FROM t WHERE coalesce(fetch_basis NOT IN ('F', 'O'), true) GROUP BY 1",
     "index_completeness": f"WITH t AS (SELECT sum({_CHUNKS})::BIGINT AS n FROM documents) SELECT n AS reported, n AS counted, n AS predicted, n > 0 AS complete FROM t",
-    "bound_calls": "WITH c AS (SELECT user_id AS qid, floor(value / 10)::BIGINT AS n FROM events WHERE user_id % 3 > 0) SELECT qid, 'too many results' AS problem FROM c GROUP BY qid HAVING max(n) > 9 UNION ALL SELECT qid, 'no call' FROM range(300) t(qid) WHERE qid NOT IN (SELECT qid FROM c)",
+    "bound_calls": "WITH c AS (SELECT user_id AS qid, floor(value / 10)::BIGINT AS n FROM events WHERE event_type = 'purchase') SELECT qid, 'too many results' AS problem FROM c GROUP BY qid HAVING max(n) > 9 UNION ALL SELECT qid, 'no call' FROM (SELECT DISTINCT user_id AS qid FROM events) WHERE qid NOT IN (SELECT qid FROM c)",
     "used_shards": "WITH p AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT printf('train-%05d-of-00041.parquet', row_number() OVER (ORDER BY p) - 1) AS shard, n FROM p), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT shard, n, least(n, 1000 - before)::BIGINT AS taken FROM b WHERE before < 1000",
     "manifest_upsert": "SELECT n_name AS path, sha256(n_name) AS sha256, CASE WHEN n_regionkey = 1 THEN 99 ELSE n_regionkey END::BIGINT AS bytes FROM nation UNION ALL SELECT 'NEW', '0', 1",
     "manifest_status": "WITH w AS (SELECT DISTINCT CASE WHEN page_id % 10 = 0 THEN url || '#gone' ELSE url END AS path, page_id % 7 = 0 AND page_id % 10 != 0 AS bad, page_id % 10 = 0 AS gone FROM pages) SELECT CASE WHEN gone THEN 'MISSING' WHEN bad THEN 'HASH MISMATCH' ELSE 'verified' END AS status, count(*) AS n FROM w GROUP BY 1",
@@ -307,7 +308,7 @@ SELECT 'S' AS scope, s AS n, s > 0 AND out = 0 AND s < m AS strictly_inside FROM
     "checkpoint_latest": f"WITH {_CHECK}, {_LATEST.format('DESC')} SELECT * FROM l",
     "checkpoint_first": f"WITH {_CHECK}, {_LATEST.format('')} SELECT * FROM l",
     "checkpoint_spent": f"WITH {_CHECK}, {_LATEST.format('DESC')} SELECT (SELECT round(sum(cost_total_billed), 3) FROM l) AS latest, (SELECT round(sum(cost_total_billed), 3) FROM c) AS all_lines",
-    "checkpoint_missing": "SELECT qid, arm FROM (SELECT * FROM range(200) t(qid), (SELECT unnest(['click', 'absent']) AS arm)) ANTI JOIN (SELECT user_id AS qid, event_type AS arm FROM events) USING (qid, arm)",
+    "checkpoint_missing": "SELECT qid, arm FROM (SELECT * FROM (SELECT DISTINCT user_id AS qid FROM events), (SELECT unnest(['click', 'absent']) AS arm)) ANTI JOIN (SELECT user_id AS qid, event_type AS arm FROM events) USING (qid, arm)",
     "selected_questions": f"""WITH m AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0 ORDER BY md5('7:main:' || c_custkey), c_custkey LIMIT 40), s AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM m) ORDER BY md5('7:sanity:' || c_custkey), c_custkey LIMIT 10)
 SELECT c_custkey, 'main' AS part FROM m UNION ALL SELECT c_custkey, 'sanity' FROM s""",
     "disjoint_questions": """WITH RECURSIVE p AS (SELECT c_mktsegment, c_custkey, c_nationkey % 7 AS e, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) AS i, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 3 ELSE 2 END AS quota FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')),
@@ -332,7 +333,7 @@ SELECT 'a_b__' || lpad(conv_id::VARCHAR, greatest(4, length(conv_id::VARCHAR))::
 SELECT p_partkey, 'In a/b, someone reported: "' || s || '" What was this eventually traced to, and what resolved it?' AS question, len(list_filter(regexp_extract_all(lower(s), '[a-z_][a-z0-9_]*'), lambda w: w NOT IN ('when', 'the'))) < 4 AS degenerate FROM t""",
     "path_scopes": f"WITH {_PATHS} SELECT {_INSIDE} AS inside, CASE WHEN starts_with(path, 'src/core/') THEN 0 WHEN starts_with(path, 'src/') THEN 1 WHEN starts_with(path, 'docs/') THEN 2 ELSE 3 END::INT AS tier, NOT starts_with(path, '.') AND (ends_with(path, '.py') OR ends_with(path, '.md')) AS visible, count(*) AS n FROM f GROUP BY ALL",
     "prompt_texts": "WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'), c AS (SELECT conv_id, string_agg('[' || k || '] user' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS t FROM u GROUP BY conv_id) SELECT conv_id, md5('Passages:' || chr(10) || chr(10) || coalesce(t, '(no passages were retrieved)') || chr(10) || chr(10) || 'Question: why?') AS digest FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN c USING (conv_id)",
-    "retrieved_hops": "WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS x FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1), p AS (SELECT l_orderkey, list_concat(x, [-1, -1, -1, -1, -1, -1])[1:6] AS ids FROM o) SELECT l_orderkey, len(list_distinct(list_intersect([ids[2], ids[5]], list_filter(ids[1:3], lambda i: i >= 0))))::INT AS hops, array_to_string(ids, ',') AS ids FROM p",
+    "retrieved_hops": "WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS x FROM lineitem GROUP BY 1), p AS (SELECT l_orderkey, list_concat(x, [-1, -1, -1, -1, -1, -1])[1:6] AS ids FROM o) SELECT l_orderkey, len(list_distinct(list_intersect([ids[2], ids[5]], list_filter(ids[1:3], lambda i: i >= 0))))::INT AS hops, array_to_string(ids, ',') AS ids FROM p",
     "gold_verdicts": """WITH p AS (SELECT ['keep', 'augment', 'replace', 'unanswerable_from_corpus', 'other'][floor(p_partkey / 5)::BIGINT % 5 + 1] AS verdict, p_partkey % 5 AS c FROM part)
 SELECT verdict, CASE verdict WHEN 'other' THEN 'unknown verdict other' WHEN 'keep' THEN CASE WHEN c IN (0, 1, 3) THEN 'keep must not change the golds' END WHEN 'unanswerable_from_corpus' THEN CASE WHEN c != 4 THEN 'unanswerable_from_corpus must supply no golds' END
 WHEN 'augment' THEN CASE WHEN c != 0 THEN 'augment must add at least one alias and drop none' END WHEN 'replace' THEN CASE c WHEN 4 THEN 'replace must supply a non-empty gold list' WHEN 2 THEN 'replace must differ from the existing golds' WHEN 1 THEN 'no proposed alias is long enough to be matchable' END END AS problem, count(*) AS n FROM p GROUP BY ALL""",

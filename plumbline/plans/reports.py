@@ -123,8 +123,8 @@ def cell_means(spark, d):
 
 
 def scope_progress(spark, d):
-    """Of the first 300 users by scope, how many every arm has finished and how many are left."""
-    wanted = spark.range(300).select(F.col("id").alias("qid"), (F.col("id") % 3).alias("scope"))
+    """Of all customers by scope (their nation), how many every arm has finished and how many are left."""
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.col("c_nationkey").alias("scope"))
     done = table(spark, d, "events").groupBy(F.col("user_id").alias("qid")).agg(F.count_distinct("event_type").alias("arms"))
     both = wanted.join(done, "qid", "left")
     return both.groupBy("scope").agg(F.count(F.when(F.col("arms") == 5, 1)).alias("completed"), F.count(F.when(F.coalesce("arms", F.lit(0)) < 5, 1)).alias("remaining"))
@@ -190,7 +190,7 @@ SQL = {
     "size_curve": "WITH o AS (SELECT l_returnflag AS arm, l_linenumber AS size, l_quantity::DOUBLE AS tokens, l_discount::DOUBLE AS cost FROM lineitem) SELECT arm, size, round(quantile_cont(tokens, 0.5), 4) AS median_tokens, round(avg(cost), 6) AS mean_cost, count(*) AS n, any_value(t) AS corpus_tokens FROM o JOIN (SELECT size, sum(tokens) AS t FROM o GROUP BY size) USING (size) GROUP BY arm, size",
     "depth_table": "WITH o AS (SELECT role, length(text) AS len, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) SELECT role, round(floor(p * 10 / n) / 10, 1)::DOUBLE AS depth, round(avg(len), 4) AS mean, count(*) AS n, bool_and(len > 20) AS all_long FROM o GROUP BY 1, 2",
     "cell_means": "SELECT event_type AS arm, [1, 3, 5, 10][event_id % 4 + 1] AS k, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS temperature, count(*) AS n, round(avg(value), 6) AS mean, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3",
-    "scope_progress": "WITH d AS (SELECT user_id AS qid, count(DISTINCT event_type) AS arms FROM events GROUP BY 1) SELECT qid % 3 AS scope, count(*) FILTER (arms = 5) AS completed, count(*) FILTER (coalesce(arms, 0) < 5) AS remaining FROM range(300) t(qid) LEFT JOIN d USING (qid) GROUP BY 1",
+    "scope_progress": "WITH d AS (SELECT user_id AS qid, count(DISTINCT event_type) AS arms FROM events GROUP BY 1) SELECT c_nationkey AS scope, count(*) FILTER (arms = 5) AS completed, count(*) FILTER (coalesce(arms, 0) < 5) AS remaining FROM customer LEFT JOIN d ON qid = c_custkey GROUP BY 1",
     "turn_overlap": "WITH k AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'), lambda w: length(w) > 2)) AS a FROM conversations), b AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM k), c AS (SELECT conv_id, len(list_intersect(a, b)) AS s, len(a) AS n FROM b WHERE b IS NOT NULL) SELECT conv_id, sum(s)::BIGINT AS shared, count(*) FILTER (s = n) AS contained FROM c GROUP BY conv_id",
     "collapsed_texts": r"SELECT conv_id, turn, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS digest FROM conversations",
     "rater_agreement": "SELECT round(avg((quality = toxic)::INT), 6) AS agreement, avg((quality = toxic)::INT) >= 0.95 AS reliable FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",

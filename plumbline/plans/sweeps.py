@@ -47,7 +47,7 @@ def churn_limits(spark, d):
 
 
 def swept(spark, d) -> DataFrame:
-    return S.perturbed(points(spark, d).where("size between 1 and 80"), regime(), KNOBS, F.col("other"))
+    return S.perturbed(points(spark, d), regime(), KNOBS, F.col("other"))
 
 
 def knob_sweep(spark, d):
@@ -79,7 +79,7 @@ def crossover_sizes(spark, d):
 
 def branch_letters(spark, d):
     """Break-evens of two index arms of which one sends more context."""
-    own = costed(spark, d).where("size between 20 and 60")
+    own = costed(spark, d)
     be = lambda index: C.break_even(F.col("live"), index, F.col("other"))
     arms = F.array(F.struct(F.lit("k10").alias("arm"), be(F.col("index")).alias("break_even")), F.struct(F.lit("k3").alias("arm"), be(F.col("index") * 0.5).alias("break_even")))
     rows = own.select("size", F.explode(arms).alias("a")).select("size", "a.*")
@@ -101,7 +101,7 @@ def matched_corpora(spark, d):
 def measured_arms(spark, d) -> DataFrame:
     """Parts' sizes as arms of an index: codes, segments, and bytes that the model explains but for a known rest."""
     n, dims, nlist = 100_000, 64, 16
-    own = table(spark, d, "part").where("p_partkey < 40").select(F.concat(F.lit("arm"), F.col("p_partkey").cast("string")).alias("arm"), (F.col("p_partkey") % 4).alias("t"), (F.col("p_partkey") % 5 + 1).alias("n_segments"))
+    own = table(spark, d, "part").select(F.concat(F.lit("arm"), F.col("p_partkey").cast("string")).alias("arm"), (F.col("p_partkey") % 4).alias("t"), (F.col("p_partkey") % 5 + 1).alias("n_segments"))
     own = own.withColumns({"ivf": F.col("t") > 0, "rabitq": F.col("t") == 3, "pq_m": F.when(F.col("t") == 2, 16), "codes": F.when(F.col("t") == 0, 0).when(F.col("t") == 1, 64).when(F.col("t") == 2, 16).otherwise(8)})
     rest = F.when(F.col("rabitq"), 8 * n).otherwise(F.col("n_segments") * 100)
     index = F.when(F.col("ivf"), P.modelled(n, dims, nlist) + rest).otherwise(0).cast("bigint")
@@ -159,11 +159,11 @@ t AS (SELECT *, {_live('tokens', '0.9')} AS live, {_live('tokens', '0.0')} AS li
 _BE = "CASE WHEN {live} IS NULL THEN NULL WHEN {live} - {index} <= 0 THEN 'inf'::DOUBLE ELSE ({fixed}) / ({live} - {index}) END"
 _KIND = "CASE WHEN be IS NULL THEN 'infeasible' WHEN be = 'inf' THEN 'never' ELSE 'reached' END AS kind, round(CASE WHEN be < 'inf' THEN be END, 4) AS break_even"
 _KNOBS = " UNION ALL ".join(
-    f"SELECT workload, size, '{knob}' AS knob, '{setting}' AS setting, {_live('tokens', f'least(1.0, greatest(0.0, 1 - (1 - 0.9) * {miss}))', str(price), str(write or 2.0), cached)} AS live, (5000 * 2.0 + 30 * 10.0)::DOUBLE / 1e6 * {price} AS index, other * {infra} AS fixed FROM t WHERE size BETWEEN 1 AND 80"
+    f"SELECT workload, size, '{knob}' AS knob, '{setting}' AS setting, {_live('tokens', f'least(1.0, greatest(0.0, 1 - (1 - 0.9) * {miss}))', str(price), str(write or 2.0), cached)} AS live, (5000 * 2.0 + 30 * 10.0)::DOUBLE / 1e6 * {price} AS index, other * {infra} AS fixed FROM t"
     for knob, setting, price, miss, infra, write, cached in KNOBS
 )
 _SWEPT = f"WITH {_POINTS}, k AS ({_KNOBS}), s AS (SELECT *, {_BE.format(live='live', index='index', fixed='fixed')} AS be FROM k)"
-_ARMS = """a AS (SELECT 'arm' || p_partkey AS arm, p_partkey % 4 AS t, p_partkey % 5 + 1 AS seg FROM part WHERE p_partkey < 40),
+_ARMS = """a AS (SELECT 'arm' || p_partkey AS arm, p_partkey % 4 AS t, p_partkey % 5 + 1 AS seg FROM part),
 b AS (SELECT *, [0, 64, 16, 8][t + 1] AS codes, CASE WHEN t = 2 THEN seg * 16 * 256 * 4 * 4 ELSE 0 END AS book FROM a),
 c AS (SELECT *, CASE WHEN t > 0 THEN 100000 * codes + seg * 16 * 64 * 4 + 800000 + book + CASE WHEN t = 3 THEN 800000 ELSE seg * 100 END ELSE 0 END AS idx, CASE WHEN t = 0 THEN 25600000 ELSE 0 END AS cache, seg * 50000 AS heap FROM b)"""
 _ROW = 'SELECT arm, component, bytes::BIGINT AS bytes, round(bytes / 100000.0::DOUBLE, 2) AS bytes_per_vector, round(bytes / (idx + cache + heap)::DOUBLE, 4) AS share, basis FROM u'
@@ -183,7 +183,7 @@ SELECT workload, knob, spread, above, below, flips, infeasible, above OR flips O
 SELECT workload, size, basis, round(err, 4) AS rel_error, abs(err) <= 0.1 AS within FROM e""",
     "postdiction_gate": f"WITH {_POINTS} SELECT true AS clean, count(*) FILTER (size > 0 AND live IS NOT NULL AND size % 11 = 0) = 0 AS passes FROM t",
     "crossover_sizes": f"WITH {_POINTS}, x AS (SELECT workload, size, live > index AS c, lag(live > index) OVER w AS was, lag(size) OVER w AS low FROM t WHERE live IS NOT NULL WINDOW w AS (PARTITION BY workload ORDER BY size)) SELECT workload, low, size AS high FROM x WHERE was IS NOT NULL AND was != c",
-    "branch_letters": f"""WITH {_POINTS}, o AS (SELECT size, {_BE.format(live='live', index='index', fixed='other')} AS k10, {_BE.format(live='live', index='(index * 0.5)', fixed='other')} AS k3 FROM t WHERE size BETWEEN 20 AND 60), u AS (SELECT size, k10 AS be FROM o UNION ALL SELECT size, k3 FROM o)
+    "branch_letters": f"""WITH {_POINTS}, o AS (SELECT size, {_BE.format(live='live', index='index', fixed='other')} AS k10, {_BE.format(live='live', index='(index * 0.5)', fixed='other')} AS k3 FROM t), u AS (SELECT size, k10 AS be FROM o UNION ALL SELECT size, k3 FROM o)
 SELECT CASE WHEN bool_and(coalesce(be < 'inf', false)) THEN 'F1' WHEN NOT bool_or(coalesce(be < 'inf', false)) THEN 'F3' ELSE 'F2' END AS f, CASE WHEN coalesce(bool_and(be >= 10 AND be < 1000) FILTER (be < 'inf'), true) THEN 'B1' ELSE 'B2' END AS band,
 (SELECT CASE WHEN bool_or(NOT coalesce(k3 < 'inf' AND k10 < 'inf', false)) THEN 'K3' WHEN bool_and(k3 < k10) THEN 'K1' ELSE 'K2' END FROM o) AS k FROM u""",
     "cache_rates": "WITH x AS (SELECT o_orderpriority, sum(CASE WHEN o_custkey % 3 > 0 THEN o_custkey ELSE 0 END) AS r, coalesce(sum(o_orderkey) FILTER (o_custkey % 3 = 0), 0) AS w FROM orders GROUP BY 1) SELECT o_orderpriority, round(coalesce(r / nullif(r + w, 0), 0), 6)::DOUBLE AS hit_rate FROM x",
