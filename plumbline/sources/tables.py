@@ -25,6 +25,8 @@ PRICES = struct("model string, input_usd_per_mtok double, output_usd_per_mtok do
 LEDGER = struct("run_label string, spend_usd double, head string, dirty boolean, committed_in string, note string")
 TRANSCRIPT = struct("role string, stop_reason string").add("content", T.ArrayType(struct("type string, text string, name string, tool_use_id string, content string, content_length bigint, is_error boolean")))
 BROKEN = "_broken"
+#: Folders of the tables made by cut(), for sweep().
+_made: set[str] = set()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,12 +47,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back, so that later steps restart from there."""
+    """df written to the shared folder and read back, so that later steps restart from there if executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that no later step reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = file.rsplit("/", 1)[0]
+            _delete(df.sparkSession, path)
+            _made.difference_update({p for p in _made if p.rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]})
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that cut() made and that are still there, and return their number. Results of operators read such
+    tables: call it when the results have been written."""
+    for path in (gone := sorted(_made)):
+        _delete(spark, path)
+    _made.clear()
+    return len(gone)
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = RUNS, strict: bool = False) -> DataFrame:
     """JSON lines with their file and place in it (``_file``, ``_at``). Malformed lines are left out, or fail if strict."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))

@@ -121,3 +121,15 @@ def test_places_of_sentences(spark):
     assert got[5].best is None and not got[5].token_unique and got[6].n_strict == 0 and got[6].short
     one = C.by_question(spark.createDataFrame(list(got.values())).withColumn("qid", F.lit(1))).first()
     assert one.n_sents == 6 and not one.all_one_strict and one.any_zero_quoted and one.n_short == 4
+
+
+def test_tables_are_swept(spark):
+    import os
+
+    from plumbline.sources.tables import cut, discard, sweep
+
+    sweep(spark)
+    tables = [cut(spark.range(10), "one"), cut(spark.range(10), "two")]
+    folders = [t.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://") for t in tables]
+    discard(tables[0])
+    assert [os.path.exists(f) for f in folders] == [False, True] and sweep(spark) == 1 and not os.path.exists(folders[1]) and sweep(spark) == 0
