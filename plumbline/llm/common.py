@@ -4,7 +4,6 @@ lineage with tables in the cluster's shared folder."""
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.tables import shared_dir
+from plumbline.sources import tables
+from plumbline.sources.tables import discard, sweep  # noqa: F401
 
 #: Characters that separate words, as in the class [^\x20\x09-\x0D].
 SPACES = r"\x20\x09-\x0D"
@@ -22,8 +22,6 @@ SLICE = 2 << 20
 #: Bytes of an Arrow batch between an executor and its Python worker, which hold several copies of it. A session that has
 #: more is set to this by mapped(); it only bounds memory.
 ARROW, ARROW_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Folders of the tables made by cut(), for sweep().
-_made: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,37 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: later steps restart from it if executors are lost. Then the
-    driver's garbage is collected: only that makes Spark remove the shuffle files of steps that are done."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.add(path)
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that no later step reads."""
-    for df in tables:
-        for file in df.inputFiles()[:1]:
-            path = file.rsplit("/", 1)[0]
-            _delete(df.sparkSession, path)
-            _made.difference_update({p for p in _made if p.rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]})
-
-
-def sweep(spark: SparkSession) -> int:
-    """Delete all tables that cut() made and that are still there, and return their number. Results of operators read such
-    tables: call it when the results have been written."""
-    for path in (gone := sorted(_made)):
-        _delete(spark, path)
-    _made.clear()
-    return len(gone)
+    """tables.cut(), after which the driver's garbage is collected: only that makes Spark remove the shuffle files of steps that
+    are done, which count as disk."""
+    out = tables.cut(df, label)
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def fresh(df: DataFrame, name: str) -> str:
