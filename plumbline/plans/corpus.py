@@ -174,6 +174,8 @@ t AS (SELECT conv_id, turn, {_NORM.format('text')} AS x, {_NORM.format('gold')}
 w AS (SELECT *, list_filter(string_split(x, ' '), lambda w: w != '') AS a, list_filter(string_split(y, ' '), lambda w: w != '') AS b FROM t)
 SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN (len(a) = len(b))::INT ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(list_intersect(a, b)), lambda w: least(len(list_filter(a, lambda z: z = w)), len(list_filter(b, lambda z: z = w))))), 0) / (len(a) + len(b)) END, 9) AS f1, (x = y)::INT AS em FROM w""",
     "answers_present": f"WITH n AS (SELECT conv_id, {_NFKD.format('text')} AS t FROM conversations), w AS (SELECT conv_id, contains(t, 'the') OR contains(t, 'e n') AS a, contains(' ' || t || ' ', ' the ') OR contains(' ' || t || ' ', ' e n ') AS b FROM n) SELECT conv_id, count(*) FILTER (a) AS n, count(*) FILTER (b) AS n_words, count(*) FILTER (b AND conv_id % 2 = 0) AS n_primary FROM w GROUP BY conv_id",
+    "first_sentences": """WITH j AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '' AND NOT regexp_matches(x, '^(>|#|```)')), ' ') AS t FROM documents)
+SELECT doc_id, md5(substr(CASE WHEN regexp_matches(t, '[.!?][ \\t\\n\\x0B\\f\\r]') THEN regexp_extract(t, '^(.*?[.!?])[ \\t\\n\\x0B\\f\\r]', 1, 's') ELSE t END, 1, 300)) AS digest FROM j""",
     "norm_text": f"SELECT item_id, {_NFKD.format('text')} AS norm FROM benchmark",
     "page_paths": r"""WITH p AS (SELECT page_id, regexp_replace(replace(regexp_replace(trim(regexp_replace(url, '^[a-z]+://[^/]*', '')), '^["''`]+|["''`]+$', '', 'g'), chr(92), '/'), '^(\./|/)+', '') AS path FROM pages)
 SELECT page_id, path, lower(regexp_extract(string_split(path, '/')[-1], '[^.].*\.([^.]+)$', 1)) IN ('py', 'md', 'txt', 'rst', 'toml', 'yaml', 'yml', 'json', 'cfg', 'ini', 'html', 'css', 'js', 'ts', 'sh', 'sql') AS is_text FROM p""",

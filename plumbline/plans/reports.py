@@ -175,6 +175,10 @@ QUERIES = {f.__name__: f for f in (conversion_rules, label_cells, rank_agreement
 _LISTS = f"{search._RAW}, {search._BOUNDS}, {search._SQ8}, t AS ({search._top('e', 'e')}), p AS ({search._top('e', 'z')})"
 
 SQL = {
+    "picked_turns": """WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), d AS (SELECT conv_id, i, round(i / n, 6) AS d FROM p),
+a AS (SELECT conv_id, arg_min(i, (abs(d - 0.1::DOUBLE), i)) AS x FROM d GROUP BY conv_id), b AS (SELECT conv_id, any_value(x) AS x, arg_min(i, (abs(d - 0.5::DOUBLE), i)) FILTER (i != x) AS y FROM d JOIN a USING (conv_id) GROUP BY conv_id),
+c AS (SELECT conv_id, any_value(x) AS x, any_value(y) AS y, arg_min(i, (abs(d - 0.9::DOUBLE), i)) FILTER (i != x AND i != y) AS z FROM d JOIN b USING (conv_id) GROUP BY conv_id)
+SELECT conv_id, concat_ws(',', x, coalesce(y, -1), coalesce(z, -1)) AS places FROM c""",
     "conversion_rules": f"WITH {_CUBE}, x AS (SELECT arm, judge, len(ids) < 2 AS quiet, unnest(['presence', 'em']) AS rule, unnest([presence, em]) AS holds FROM c WHERE k = 10) SELECT arm, rule, round(avg(judge::INT) FILTER (holds), 6) AS conversion, round(avg((quiet AND NOT judge)::INT) FILTER (holds), 6) AS decline_rate, round(avg((NOT judge AND NOT quiet)::INT) FILTER (holds), 6) AS error_rate FROM x GROUP BY arm, rule",
     "label_cells": "WITH v AS (SELECT x.v AS quality, y.v AS toxic FROM (SELECT unnest([0, 1]) AS v) x, (SELECT unnest([0, 1]) AS v) y), f AS (SELECT quality, toxic, count(*) AS n FROM labels WHERE quality IN (0, 1) AND toxic IN (0, 1) GROUP BY ALL) SELECT quality, toxic, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM f), 6)::DOUBLE AS share FROM v LEFT JOIN f USING (quality, toxic)",
     "rank_agreement": f"WITH {_LISTS}, j AS (SELECT t.qid, t.id AS a, p.id AS b, t.score AS s, p.score AS r FROM t JOIN p USING (qid, rank)) SELECT qid, list_sort(list(a)) = list_sort(list(b)) AS same_set, count(*) FILTER (a != b) = 0 AS same_order, count(*) FILTER (a != b AND abs(s - r) < 1e-6) AS near_ties, count(*) FILTER (a != b AND abs(s - r) >= 1e-6) AS mismatches FROM j GROUP BY qid",

@@ -221,6 +221,10 @@ SELECT arm, target, sweep_value, recall, qps, met FROM (SELECT *, row_number() O
     "adjacent_gaps": f"WITH {_SWEEP} SELECT arm, sweep_value, round(recall - lag(recall) OVER (PARTITION BY arm ORDER BY sweep_value), 6) AS gap FROM s",
     "matched_arms": f"WITH {_SWEEP}, m AS (SELECT arm, max(recall) AS recall FROM s GROUP BY arm) SELECT x.arm AS arm_a, y.arm AS arm_b, round(abs(x.recall - y.recall), 6) AS gap FROM m x JOIN m y ON x.arm < y.arm AND x.arm % 3 != y.arm % 3 AND abs(x.recall - y.recall) <= 0.003 + 1e-12",
     "cumulative_tokens": f"WITH {_TURNS} SELECT conv_id, turn, cum_before, round(cum_before / total, 6) AS depth FROM (SELECT conv_id, turn, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cum_before, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM t)",
+    "greedy_prefix": f"""WITH RECURSIVE {_TURNS}, o AS (SELECT conv_id, tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, tokens) - 1 AS i FROM t),
+g AS (SELECT conv_id, -1::BIGINT AS i, 0::BIGINT AS used, []::BIGINT[] AS own FROM (SELECT DISTINCT conv_id FROM o)
+  UNION ALL SELECT g.conv_id, o.i, CASE WHEN used + tokens <= 100 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 100 THEN list_append(own, o.i) ELSE own END FROM g JOIN o ON o.conv_id = g.conv_id AND o.i = g.i + 1)
+SELECT conv_id, array_to_string(arg_max(own, i), ',') AS taken FROM g GROUP BY conv_id""",
     "size_prefix": f"WITH {_TURNS}, u AS (SELECT conv_id, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM t) SELECT conv_id, count(*) FILTER (upto <= 100) AS n, coalesce(max(upto) FILTER (upto <= 100), 0)::BIGINT AS total FROM u GROUP BY conv_id",
     "first_event": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1",
     "last_event": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
