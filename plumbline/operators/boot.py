@@ -18,8 +18,9 @@ def interval(value: Column, alpha: float = S.ALPHA) -> Column:
 
 
 def with_draws(rows: DataFrame, n: int, replicates: int = S.REPLICATES, seed: int | str = S.SEED) -> DataFrame:
-    """rows (idx, ...) once for each replicate that draws them, with rep and weight."""
-    return rows.join(S.draws(rows.sparkSession, n, replicates, seed), "idx")
+    """rows (idx, ...) once for each replicate that draws them, with rep and weight. Both sides are dealt by idx; neither is sent
+    through the driver, however small its files are."""
+    return rows.hint("shuffle_hash").join(S.draws(rows.sparkSession, n, replicates, seed), "idx")
 
 
 def medians(values: DataFrame, by: list[str], n: int, replicates: int = S.REPLICATES, seed: int | str = S.SEED) -> DataFrame:

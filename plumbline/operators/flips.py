@@ -31,7 +31,7 @@ def flip_distances(runs: DataFrame, n: int, base: str, most: int = MOST_FLIPS, m
     ref = runs.where(F.col("arm") == base).select("idx", F.col("ok").cast("int").alias("ref"))
     pairs = cut(runs.where(F.col("arm") != base).select("arm", "idx", F.col("ok").cast("int").alias("own")).join(ref, "idx"), "flip-pairs")
     draws = S.draws(runs.sparkSession, n, replicates)
-    loss = cut(pairs.join(draws, "idx").groupBy("arm", "rep").agg(F.sum(F.col("weight") * (F.col("ref") - F.col("own"))).alias("loss")), "flip-losses")
+    loss = cut(pairs.hint("shuffle_hash").join(draws, "idx").groupBy("arm", "rep").agg(F.sum(F.col("weight") * (F.col("ref") - F.col("own"))).alias("loss")), "flip-losses")
     classed = lambda rows, by: rows.groupBy(*by).agg(B.interval(F.col("loss") / n, alpha).alias("ci")).withColumn("class", D.classify_delta(F.col("ci.low"), F.col("ci.high"), margin))
     before = classed(loss, ["arm"]).select("arm", "class")
     place = F.row_number().over(Window.partitionBy("arm").orderBy("idx"))
