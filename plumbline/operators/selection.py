@@ -1,7 +1,7 @@
 """Samples, selections and orders that any engine can repeat: order by md5 of a seed and a key, then greedy rules.
 
-Greedy choices depend on what was taken before. They fold over the candidates of one stratum, which are questions and
-not documents; ``MOST`` bounds them, and more fail.
+Greedy choices depend on what was taken before. Those of strata fold over their candidates in rounds of bounded size; those of
+pairs over all candidates, which are questions and not documents: ``MOST`` bounds them, and more fail.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import number_rows
+from plumbline.sources.tables import cut
 
 MOST = 100_000
+#: Candidates of a stratum that are folded over in one round.
+POOL = 10_000
 
 
 def shuffled(seed: int | str, *keys: Column) -> Column:
@@ -35,27 +38,38 @@ def main_and_sanity(df: DataFrame, key: str, passes: Column, n_main: int, n_sani
     return main.withColumn("part", F.lit("main")).union(rest.withColumn("part", F.lit("sanity")))
 
 
-def disjoint_quota(candidates: DataFrame, stratum: str, key: str, evidence: str, quotas: dict[str, int], seed: int) -> DataFrame:
+def disjoint_quota(candidates: DataFrame, stratum: str, key: str, evidence: str, quotas: dict[str, int], seed: int, block: int = POOL) -> DataFrame:
     """(stratum, key): each stratum's candidates in a seeded order, until its quota is full; one whose evidence (an array)
-    overlaps that of a taken one of its stratum is passed over. Fails if a quota is not filled."""
-    quota = F.create_map(*[x for k, n in quotas.items() for x in (F.lit(k), F.lit(n))])
+    overlaps that of a taken one of its stratum is passed over. Fails if a quota is not filled. A task folds over ``block`` candidates
+    at a time, which only bounds its memory: strata may have any number."""
+    kind, seen = candidates.schema[key].dataType.simpleString(), candidates.schema[evidence].dataType.simpleString()
+    label = candidates.schema[stratum].dataType.simpleString()
     own = candidates.where(F.col(stratum).isin(list(quotas)))
-    if max([0, *(r["count"] for r in own.groupBy(stratum).count().collect())]) > MOST:
-        raise ValueError(f"more than {MOST} candidates in a stratum")
-    item = F.struct(shuffled(seed, F.col(key)).alias("at"), F.col(key).alias("key"), F.col(evidence).alias("evidence"))
-    pools = own.groupBy(stratum).agg(F.array_sort(F.collect_list(item)).alias("pool")).withColumn("quota", quota[F.col(stratum)])
-    kind, seen = own.schema[key].dataType.simpleString(), own.schema[evidence].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("taken"), F.array().cast(seen).alias("seen"))
+    own = cut(own.select(F.col(stratum).alias("part"), F.struct(shuffled(seed, F.col(key)).alias("at"), F.col(key).alias("key")).alias("place"), F.col(evidence).alias("evidence")), "quota-candidates")
+    none = F.array()
+    start = candidates.sparkSession.createDataFrame(list(quotas.items()), f"part {label}, quota int")
+    state = start.select("part", "quota", none.cast(f"array<{kind}>").alias("taken"), none.cast(seen).alias("seen"))
 
     def step(a: Column, x: Column) -> Column:
         ok = (F.size(a["taken"]) < F.col("quota")) & ~F.coalesce(F.arrays_overlap(a["seen"], x["evidence"]), F.lit(False))
-        return F.struct(F.when(ok, F.concat(a["taken"], F.array(x["key"]))).otherwise(a["taken"]).alias("taken"), F.when(ok, F.concat(a["seen"], x["evidence"])).otherwise(a["seen"]).alias("seen"))
-
-    taken = pools.select(stratum, "quota", F.aggregate("pool", start, step, lambda a: a["taken"]).alias("taken"))
-    wanted = own.sparkSession.createDataFrame(list(quotas.items()), f"{stratum} string, quota int").join(taken.drop("quota"), stratum, "left")
-    short = F.coalesce(F.size("taken"), F.lit(0)) < F.col("quota")
-    full = F.when(short, F.raise_error(F.concat(F.lit("stratum not filled: "), F.col(stratum))).cast(f"array<{kind}>")).otherwise(F.col("taken"))
-    return wanted.select(stratum, F.explode(full).alias(key))
+        return F.struct(F.when(ok, F.concat(a["taken"], F.array(x["place"]["key"]))).otherwise(a["taken"]).alias("taken"), F.when(ok, F.concat(a["seen"], x["evidence"])).otherwise(a["seen"]).alias("seen"))
+
+    # What is passed over once is passed over for good, so the candidates after those of a round that overlap nothing taken are
+    # all that the next round can take from; the first of them is taken, which bounds the rounds by the quotas.
+    while True:
+        fits = own.join(F.broadcast(state), "part").where((F.size("taken") < F.col("quota")) & ~F.coalesce(F.arrays_overlap("seen", "evidence"), F.lit(False)))
+        fits = fits.where(~F.array_contains("taken", F.col("place.key")))
+        first = fits.select("part", "place", "evidence", F.row_number().over(Window.partitionBy("part").orderBy("place")).alias("_n")).where(F.col("_n") <= block)
+        pools = first.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", "evidence"))).alias("pool"))
+        grown = F.aggregate("pool", F.struct("taken", "seen"), step)
+        after = state.join(pools, "part", "left").select("part", "quota", F.when(F.col("pool").isNull(), F.struct("taken", "seen")).otherwise(grown).alias("s"), F.coalesce(F.size("pool"), F.lit(0)).alias("n"))
+        after = cut(after.select("part", "quota", "s.taken", "s.seen", "n"), "quota-taken")
+        state = after.drop("n")
+        if not after.where((F.size("taken") < F.col("quota")) & (F.col("n") >= block)).take(1):
+            break
+    short = F.size("taken") < F.col("quota")
+    full = F.when(short, F.raise_error(F.concat(F.lit("stratum not filled: "), F.col("part"))).cast(f"array<{kind}>")).otherwise(F.col("taken"))
+    return state.select(F.col("part").alias(stratum), F.explode(full).alias(key))
 
 
 def interleaved(keys: DataFrame, key: str, arms: list[str], seed: int) -> DataFrame:
