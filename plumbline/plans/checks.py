@@ -134,8 +134,9 @@ def checkpoint_spent(spark, d):
 
 
 def checkpoint_missing(spark, d):
-    users = table(spark, d, "events").select(F.col("user_id").alias("qid")).distinct()
-    wanted = users.select("qid", F.explode(F.array(F.lit("click"), F.lit("absent"))).alias("arm"))
+    """Customers, and whoever else has an event, as wanted questions of two arms: those without any event are missing, too."""
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("qid")).union(table(spark, d, "events").select("user_id"))
+    wanted = users.distinct().select("qid", F.explode(F.array(F.lit("click"), F.lit("absent"))).alias("arm"))
     return T.missing(checkpoint(spark, d), wanted)
 
 
@@ -308,7 +309,7 @@ SELECT 'S' AS scope, s AS n, s > 0 AND out = 0 AND s < m AS strictly_inside FROM
     "checkpoint_latest": f"WITH {_CHECK}, {_LATEST.format('DESC')} SELECT * FROM l",
     "checkpoint_first": f"WITH {_CHECK}, {_LATEST.format('')} SELECT * FROM l",
     "checkpoint_spent": f"WITH {_CHECK}, {_LATEST.format('DESC')} SELECT (SELECT round(sum(cost_total_billed), 3) FROM l) AS latest, (SELECT round(sum(cost_total_billed), 3) FROM c) AS all_lines",
-    "checkpoint_missing": "SELECT qid, arm FROM (SELECT * FROM (SELECT DISTINCT user_id AS qid FROM events), (SELECT unnest(['click', 'absent']) AS arm)) ANTI JOIN (SELECT user_id AS qid, event_type AS arm FROM events) USING (qid, arm)",
+    "checkpoint_missing": "SELECT qid, arm FROM (SELECT * FROM (SELECT c_custkey AS qid FROM customer UNION SELECT user_id FROM events), (SELECT unnest(['click', 'absent']) AS arm)) ANTI JOIN (SELECT user_id AS qid, event_type AS arm FROM events) USING (qid, arm)",
     "selected_questions": f"""WITH m AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0 ORDER BY md5('7:main:' || c_custkey), c_custkey LIMIT 40), s AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM m) ORDER BY md5('7:sanity:' || c_custkey), c_custkey LIMIT 10)
 SELECT c_custkey, 'main' AS part FROM m UNION ALL SELECT c_custkey, 'sanity' FROM s""",
     "disjoint_questions": """WITH RECURSIVE p AS (SELECT c_mktsegment, c_custkey, c_nationkey % 7 AS e, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) AS i, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 3 ELSE 2 END AS quota FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')),
