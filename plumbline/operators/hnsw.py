@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.proximity import beam, connect, diverse, half_squares
 from plumbline.operators.vectors import BLOCK, as_bytes, packed
+from plumbline.sources.arrow import mapped, small_batches
 from plumbline.sources.tables import cut
 
 #: Rows of a partition on average, edges of a row in the upper layers, points that a search for neighbours holds.
@@ -98,6 +99,8 @@ def index(rows: DataFrame, m: int = M, ef: int = EF_BUILD, part: int = PART) ->
     own = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     dealt = own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, round(own.count() / part)))).cast("int"))
 
+    small_batches(rows)
+
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         x = table.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
@@ -140,6 +143,6 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, efs: list[int], digits
                     first = np.arange(len(at)) - np.searchsorted(at, at) < k
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(first.sum(), ef, "i4")), pa.array(qids[at[first]]), pa.array(ids[own[first]]), pa.array(score[first])], ["ef", "qid", "id", "score"])
 
-    found = both.select("ids", "data", "dims", "nodes", "edges", "qids", "queries").mapInArrow(run, "ef int, qid bigint, id bigint, score double")
+    found = mapped(both.select("ids", "data", "dims", "nodes", "edges", "qids", "queries"), run, "ef int, qid bigint, id bigint, score double")
     w = Window.partitionBy("ef", "qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("ef", "qid", "rank", "id", "score")

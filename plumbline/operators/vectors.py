@@ -18,10 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.arrow import mapped, sliced
 from plumbline.sources.tables import cut
 
 #: Rows in a pack and queries in a block; with the dimension they bound what a task holds.
 PACK, BLOCK = 8192, 1024
+#: Queries that are scored against a pack at once, and rows that are compared with all centroids at once; a matrix of that many
+#: rows is what a task holds.
+TOGETHER = 128
+#: Rows of a batch that probes() makes, about: each query is repeated for each of its probes.
+PROBES = 8192
 #: Rows that centroids, codebooks and rotations are fitted on at most.
 FIT_ROWS = 50_000
 SEED = 42
@@ -95,7 +101,7 @@ def packed(df: DataFrame, rows: int, by: str | None = None) -> DataFrame:
     own = df.select(*([by] if by else []), "id", "data")
     own = own.hint("rebalance", by).sortWithinPartitions(by) if by else own
     field = f"`{by}` {own.schema[by].dataType.simpleString()}, " if by else ""
-    return own.mapInArrow(run, f"{field}ids array<{kind}>, data binary")
+    return mapped(own, run, f"{field}ids array<{kind}>, data binary")
 
 
 def as_bytes(df: DataFrame, column: str = "vector") -> DataFrame:
@@ -107,7 +113,7 @@ def as_bytes(df: DataFrame, column: str = "vector") -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in matrix_of(batch.column(column))], pa.binary())], ["id", "data"])
 
-    return df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column).mapInArrow(run, f"id {kind}, data binary")
+    return mapped(df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column), run, f"id {kind}, data binary")
 
 
 def as_floats(df: DataFrame) -> DataFrame:
@@ -119,7 +125,7 @@ def as_floats(df: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cell"), pa.array([r.tobytes() for r in matrix_of(batch.column("vector")).astype("f4")], pa.binary())], ["id", "cell", "data"])
 
-    return df.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "cell", "vector").mapInArrow(run, f"id {kind}, cell int, data binary")
+    return mapped(df.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "cell", "vector"), run, f"id {kind}, cell int, data binary")
 
 
 def scored(pairs: DataFrame, k: int, digits: int, kind: str, score: Callable[[bytes, int, np.ndarray, object], np.ndarray], by: str | None = None, probed: bool = False) -> DataFrame:
@@ -131,14 +137,17 @@ def scored(pairs: DataFrame, k: int, digits: int, kind: str, score: Callable[[by
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, qids = (batch.column(c)[i].values for c in ("ids", "qids"))
-                q = np.frombuffer(batch.column("queries")[i].as_py(), "f8").reshape(len(qids), -1)
-                probe, q = (q[:, 0], q[:, 1:]) if probed else (None, q)
-                s = np.round(score(batch.column("data")[i].as_py(), len(ids), q, batch.column(by)[i].as_py() if by else None), digits)
-                one, two = np.nonzero(best_rows(ids, s, k) & np.isfinite(s))
-                columns = [qids.take(pa.array(one)), ids.take(pa.array(two)), pa.array(s[one, two])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(probe[one].astype("i4"))] if probed else columns, ["qid", "id", "score"] + ["probe"] * probed)
+                block = np.frombuffer(batch.column("queries")[i].as_py(), "f8").reshape(len(qids), -1)
+                data, cell = batch.column("data")[i].as_py(), batch.column(by)[i].as_py() if by else None
+                for low in range(0, len(block), TOGETHER):
+                    q = block[low : low + TOGETHER]
+                    probe, q = (q[:, 0], q[:, 1:]) if probed else (None, q)
+                    s = np.round(score(data, len(ids), q, cell), digits)
+                    one, two = np.nonzero(best_rows(ids, s, k) & np.isfinite(s))
+                    columns = [qids.take(pa.array(low + one)), ids.take(pa.array(two)), pa.array(s[one, two])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(probe[one].astype("i4"))] if probed else columns, ["qid", "id", "score"] + ["probe"] * probed)
 
-    return pairs.select(*([by] if by else []), "ids", "data", "qids", "queries").mapInArrow(run, f"qid bigint, id {kind}, score double{', probe int' if probed else ''}")
+    return mapped(pairs.select(*([by] if by else []), "ids", "data", "qids", "queries"), run, f"qid bigint, id {kind}, score double{', probe int' if probed else ''}")
 
 
 def best_of_pairs(pairs: DataFrame, k: int, digits: int, kind: str, score: Callable[[bytes, int, np.ndarray, object], np.ndarray], by: str | None = None) -> DataFrame:
@@ -354,13 +363,12 @@ def build_index(df: DataFrame, nlist: int | None = None, coding: str = "exact",
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = matrix_of(batch.column(column))
-                cell = index.cells(v)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell.astype("i4")), pa.array(index.encode(v, cell), pa.binary())], ["id", "cell", "data"])
+        for batch in sliced(batches, 8 * TOGETHER):
+            v = matrix_of(batch.column(column))
+            cell = index.cells(v)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell.astype("i4")), pa.array(index.encode(v, cell), pa.binary())], ["id", "cell", "data"])
 
-    return index, df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column).mapInArrow(run, f"id {kind}, cell int, data binary")
+    return index, mapped(df.where(F.col("id").isNotNull() & F.col(column).isNotNull()).select("id", column), run, f"id {kind}, cell int, data binary")
 
 
 def probes(index: Index, queries: DataFrame, nprobe: int, ranked: bool = False) -> DataFrame:
@@ -368,15 +376,14 @@ def probes(index: Index, queries: DataFrame, nprobe: int, ranked: bool = False)
     the vector's doubles, if ``ranked`` after the probe's number as one more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q = np.stack([np.frombuffer(x.as_py(), "f8") for x in batch.column("data")])
-                near = index.near(q, nprobe)
-                at, probe = np.repeat(np.arange(len(q)), near.shape[1]), np.tile(np.arange(near.shape[1]), len(q))
-                data = np.column_stack([probe.astype("f8"), q[at]]) if ranked else q[at]
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype("i4")), batch.column("id").take(pa.array(at)), pa.array(probe.astype("i4")), pa.array([r.tobytes() for r in data], pa.binary())], ["cell", "id", "probe", "data"])
-
-    return as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")).mapInArrow(run, "cell int, id bigint, probe int, data binary")
+        for batch in sliced(batches, max(1, PROBES // max(1, min(nprobe, len(index.centroids))))):
+            q = np.stack([np.frombuffer(x.as_py(), "f8") for x in batch.column("data")])
+            near = index.near(q, nprobe)
+            at, probe = np.repeat(np.arange(len(q)), near.shape[1]), np.tile(np.arange(near.shape[1]), len(q))
+            data = np.column_stack([probe.astype("f8"), q[at]]) if ranked else q[at]
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype("i4")), batch.column("id").take(pa.array(at)), pa.array(probe.astype("i4")), pa.array([r.tobytes() for r in data], pa.binary())], ["cell", "id", "probe", "data"])
+
+    return mapped(as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")), run, "cell int, id bigint, probe int, data binary")
 
 
 def search_index(index: Index, rows: DataFrame, queries: DataFrame, k: int, nprobe: int, digits: int = 6) -> DataFrame:
