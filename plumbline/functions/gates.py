@@ -55,7 +55,10 @@ def floor_gate(hops: Column, share: float = 0.30) -> Column:
 def ladder_gap(recalls: Column, low: float = 0.80, high: float = 0.97) -> Column:
     """The largest step between neighbours among the recalls (an array) inside the band; 0 for fewer than two."""
     own = F.array_sort(F.filter(recalls, lambda r: r.between(low, high)))
-    return F.coalesce(F.array_max(F.transform(own, lambda r, i: F.when(i > 0, r - F.get(own, i - 1)).otherwise(F.lit(0.0)))), F.lit(0.0))
+    # A fold: a lambda that names the sorted array would sort it again for each of its elements.
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("gap"))
+    gap = F.aggregate(own, start, lambda a, r: F.struct(r.cast("double").alias("last"), F.greatest(a["gap"], r - a["last"]).cast("double").alias("gap")), lambda a: a["gap"])
+    return F.coalesce(gap, F.lit(0.0))
 
 
 def class_changed(before: Column, after: Column) -> Column:
