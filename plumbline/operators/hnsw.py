@@ -27,8 +27,10 @@ from plumbline.sources.tables import cut
 
 #: Rows of a partition on average, edges of a row in the upper layers, points that a search for neighbours holds.
 PART, M, EF_BUILD = 8192, 16, 200
-#: Rows that are inserted together at most.
-TOGETHER = 256
+#: Rows that are inserted together at most, and pairs of a query and a row that are scored exactly together, about.
+TOGETHER, SCORED = 256, 16384
+#: Tasks for each graph: enough that few of them get two.
+TASKS = 4
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
@@ -113,13 +115,30 @@ def index(rows: DataFrame, m: int = M, ef: int = EF_BUILD, part: int = PART) ->
     return cut(dealt.groupBy("part").applyInArrow(run, GRAPH), "layers")
 
 
+def best(x: np.ndarray, ids: np.ndarray, base: np.ndarray, nodes: np.ndarray, edges: np.ndarray, q: np.ndarray, starts: np.ndarray, k: int, ef: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, score) of the k best rows of each query that a search of width ef through the lowest layer finds, for a bounded
+    number of queries at a time. base are the vectors of ``nodes`` as floats; x and q score exactly."""
+    some = max(1, SCORED // max(ef, k))
+    for low in range(0, len(q), some):
+        found, _ = beam(base, np.zeros(len(base), "f4"), edges, q[low : low + some].astype("f4"), starts[low : low + some], max(ef, k))
+        at, col = np.nonzero(found < len(x))
+        own = nodes[found[at, col]]
+        score = np.round(np.einsum("ij,ij->i", q[low + at], x[own]), digits)
+        order = np.lexsort((ids[own], -score, at))
+        at, own, score = at[order], own[order], score[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        yield low + at[first], own[first], score[first]
+
+
 def search(graphs: DataFrame, queries: DataFrame, k: int, efs: list[int], digits: int = 6) -> DataFrame:
     """(ef, qid, rank, id, score): the k best that a search of width ef finds for each of queries (qid, vector). Every graph meets
     every block of queries, in a row of its own; a window over their k best each ends it. Scores are exact, rounded to
     ``digits`` before they are ordered; ties go to the least id."""
     blocks = packed(as_bytes(queries.select(F.col("qid").cast("bigint").alias("id"), "vector")), BLOCK).toDF("qids", "queries")
     last = graphs.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
-    both = graphs.join(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last)))), "part")
+    tasks = TASKS * (last + 1)
+    each = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last)))).repartition(tasks, "part")
+    both = graphs.repartition(tasks, "part").hint("merge").join(each, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,19 +148,13 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, efs: list[int], digits
                 x, q = (np.frombuffer(row[c], "f8").reshape(-1, row["dims"]) for c in ("data", "queries"))
                 nodes = [np.frombuffer(v, "i4") for v in row["nodes"]]
                 graph = Layers(nodes, [np.frombuffer(e, "i4").reshape(len(v) + 1, -1) for v, e in zip(nodes, row["edges"], strict=True)])
-                small, none, asked = x.astype("f4"), np.zeros(len(x), "f4"), q.astype("f4")
+                small, none = x.astype("f4"), np.zeros(len(x), "f4")
                 place = np.empty(len(x), "i4")
                 place[nodes[0]] = np.arange(len(x))
-                starts, base = place[descend(small, none, graph, asked, 0)], small[nodes[0]]
+                starts, base = place[descend(small, none, graph, q.astype("f4"), 0)], small[nodes[0]]
                 for ef in efs:
-                    found, _ = beam(base, none, graph.edges[0], asked, starts, max(ef, k))
-                    at, col = np.nonzero(found < len(x))
-                    own = nodes[0][found[at, col]]
-                    score = np.round(np.einsum("ij,ij->i", q[at], x[own]), digits)
-                    order = np.lexsort((ids[own], -score, at))
-                    at, own, score = at[order], own[order], score[order]
-                    first = np.arange(len(at)) - np.searchsorted(at, at) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(first.sum(), ef, "i4")), pa.array(qids[at[first]]), pa.array(ids[own[first]]), pa.array(score[first])], ["ef", "qid", "id", "score"])
+                    for at, own, score in best(x, ids, base, nodes[0], graph.edges[0], q, starts, k, ef, digits):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ef, "i4")), pa.array(qids[at]), pa.array(ids[own]), pa.array(score)], ["ef", "qid", "id", "score"])
 
     found = mapped(both.select("ids", "data", "dims", "nodes", "edges", "qids", "queries"), run, "ef int, qid bigint, id bigint, score double")
     w = Window.partitionBy("ef", "qid").orderBy(F.desc("score"), "id")
