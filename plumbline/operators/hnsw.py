@@ -99,7 +99,9 @@ GRAPH = "part int, ids binary, data binary, dims int, nodes array<binary>, edges
 def index(rows: DataFrame, m: int = M, ef: int = EF_BUILD, part: int = PART) -> DataFrame:
     """One row for each partition of rows (id: a whole number, vector), as a table. Null ids and vectors are left out."""
     own = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    dealt = own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, round(own.count() / part)))).cast("int"))
+    parts = max(1, round(own.count() / part))
+    # A stated number of tasks, as graphs are small but take long: by their bytes many would be built in one task.
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(TASKS * parts, "part")
 
     small_batches(rows)
 

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,23 @@ def test_several_partitions_and_blocks(spark):
     assert sorted(r.id for r in few) == [0, 1, 2]
 
 
+def test_a_search_scores_few_queries_at_a_time():
+    rng = np.random.default_rng(2)
+    x, ids, q = rng.normal(size=(600, 64)), np.arange(600), rng.normal(size=(1024, 64))
+    edges = np.vstack([rng.integers(0, 600, (600, 32)), np.full((1, 32), 600)]).astype("i4")
+    tracemalloc.start()
+    rows = [len(at) for at, _, _ in hnsw.best(x, ids, x.astype("f4"), ids, edges, q, np.zeros(1024, "i4"), 10, 512, 6)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All queries at once would hold 1,024 x 512 vectors of 64 doubles twice, 537 MB.
+    assert sum(rows) == 10240 and max(rows) <= 10 * 32 and peak < 100e6
+
+
+def test_graphs_are_built_in_tasks_of_their_own(spark):
+    graphs = hnsw.index(search.corpus(spark, SMALL).select("id", "vector"), part=100)
+    assert graphs.count() == 20 and len(graphs.inputFiles()) >= 12
+
+
 @pytest.mark.parametrize("coding", ["exact", "pq"])
 def test_a_sweep_equals_separate_searches(spark, coding):
     rows = search.corpus(spark, SMALL).select("id", "vector")
